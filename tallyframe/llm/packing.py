@@ -4,7 +4,8 @@ Lengths are whole numbers up to the capacity, so a corpus of any size is planned
 of at most 2,048 rows.  Large lengths are rounded up to the largest of their group, in groups of equal
 cardinality; configurations of those few sizes are optimised as a linear program with columns generated
 by a knapsack (Gilmore and Gomory, 1961) and rounded down; actual documents of a group take its places;
-what is left, and all small documents, go best-fit into the remaining room.
+what is left, and all small documents, go best-fit into the remaining room.  Bins that are then not
+full are opened once more and packed best-fit among themselves.
 
 The plan is a list of ranges: the documents of one length with ranks lo to hi-1 go to bins first,
 first+1, ... at one offset.  Only this bounded list is sent to the executors.
@@ -27,7 +28,10 @@ from .common import cut, small_batches, text_or_empty
 CAPACITY = 2048
 END_ID = 0
 #: Lengths over this share of the capacity are large; they form so many groups.
-LARGE, GROUPS = 1 / 8, 64
+LARGE, GROUPS = 1 / 8, 48
+#: A configuration whose actual documents leave more than this share of a bin is given up: its
+#: documents are then packed best-fit with the small ones.
+TIGHT = 1 / 128
 #: Documents of one length are ranked in so many parts, by a hash.
 PARTS = 256
 #: Words whose ids a worker keeps.
@@ -159,96 +163,106 @@ def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[
 
 
 class _Room:
-    """Bins by the room they have left, as ranges; bins that share a range share their history."""
+    """Bins by the room they have left; bins of one class hold documents of the same lengths."""
 
-    def __init__(self) -> None:
-        self.ranges: dict[int, list[list[int]]] = defaultdict(list)
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+        self.classes: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
         self.sizes: list[int] = []  # rooms that may have bins, ascending
-        self.bins = 0
 
-    def add(self, room: int, first: int, n: int) -> None:
-        if room <= 0 or n <= 0:
-            return
-        if not self.ranges[room]:
+    def add(self, lengths: tuple[int, ...], bins: int) -> None:
+        if bins:
+            room = self.capacity - sum(lengths)
             i = bisect_left(self.sizes, room)
             if i == len(self.sizes) or self.sizes[i] != room:
                 self.sizes.insert(i, room)
-        self.ranges[room].append([first, n])
+            self.classes[room].append((lengths, bins))
 
     def best(self, need: int) -> int:
         i = bisect_left(self.sizes, need)
         while i < len(self.sizes):
-            if self.ranges[self.sizes[i]]:
+            if self.classes[self.sizes[i]]:
                 return self.sizes[i]
             del self.sizes[i]
         return 0
 
-    def take(self, room: int, most: int) -> tuple[int, int]:
-        at = self.ranges[room][-1]
-        n = min(most, at[1])
-        at[1] -= n
-        first = at[0] + at[1]
-        if not at[1]:
-            self.ranges[room].pop()
-        return first, n
+    def take(self, room: int, most: int) -> tuple[tuple[int, ...], int]:
+        lengths, bins = self.classes[room].pop()
+        if bins > most:
+            self.classes[room].append((lengths, bins - most))
+        return lengths, min(bins, most)
+
+    def fit(self, left: dict[int, int]) -> None:
+        """Best-fit, longest first, opening bins where nothing has room."""
+        for n in sorted(left, reverse=True):
+            while left[n]:
+                if room := self.best(n):
+                    lengths, bins = self.take(room, max(1, left[n] // (room // n)))
+                else:
+                    room = self.capacity
+                    lengths, bins = (), max(1, left[n] // (room // n))
+                each = min(room // n, left[n])
+                self.add(lengths + (n,) * each, bins)
+                left[n] -= each * bins
+
+    def all(self) -> list[tuple[tuple[int, ...], int]]:
+        return [x for found in self.classes.values() for x in found]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[tuple[int, int, int, int, int]]:
     """Length -> how many, to ranges (length, lo, hi, first bin, offset)."""
     left = {n: c for n, c in counts.items() if c > 0}
     assert all(0 < n <= capacity for n in left)
-    used: dict[int, int] = defaultdict(int)
-    out: list[tuple[int, int, int, int, int]] = []
-    room = _Room()
-
-    def place(n: int, first: int, bins: int, offset: int) -> None:
-        out.append((n, used[n], used[n] + bins, first, offset))
-        used[n] += bins
-        left[n] -= bins
-
+    room = _Room(capacity)
     big = sorted((n for n in left if n > large * capacity), reverse=True)
-    members: list[list[int]] = [[]]
+    members: list[list[int]] = []
     share, so_far = max(1, -(-sum(left[n] for n in big) // groups)), 0
     for n in big:
-        if so_far >= share:
+        if not members or so_far >= share:
             members.append([])
             so_far = 0
         members[-1].append(n)
         so_far += left[n]
-    members = [m for m in members if m]
-    if members:
-        sizes = [m[0] for m in members]
-        for pattern, times in _configurations(sizes, [sum(left[n] for n in m) for m in members], capacity):
-            times = min([int(times + 1e-6), *(sum(left[n] for n in members[i]) // p for i, p in enumerate(pattern) if p)])
-            if times < 1 or not pattern.any():
-                continue
-            runs = [[room.bins, times, 0]]  # first bin, bins, filled
-            room.bins += times
-            for k, i in enumerate([i for i, p in enumerate(pattern) for _ in range(p)]):
-                todo, runs = runs, []
-                pool = members[i] if k % 2 else members[i][::-1]
-                for first, bins, filled in todo:
-                    while bins:
-                        n = next(n for n in pool if left[n])
-                        m = min(bins, left[n])
-                        place(n, first, m, filled)
-                        runs.append([first, m, filled + n])
-                        first, bins = first + m, bins - m
-            for first, bins, filled in runs:
-                room.add(capacity - filled, first, bins)
-    for n in sorted(left, reverse=True):
-        while left[n]:
-            if not (r := room.best(n)):
-                bins = -(-left[n] // (capacity // n))
-                room.add(capacity, room.bins, bins)
-                room.bins += bins
-                r = capacity
-            each = r // n
-            first, bins = room.take(r, max(1, left[n] // each))
-            each = min(each, left[n])
-            for k in range(each):
-                place(n, first, bins, capacity - r + k * n)
-            room.add(r - each * n, first, bins)
+    solved = _configurations([m[0] for m in members], [sum(left[n] for n in m) for m in members], capacity) if members else []
+    for pattern, times in solved:
+        times = min([int(times + 1e-6), *(sum(left[n] for n in members[i]) // p for i, p in enumerate(pattern) if p)])
+        if times < 1 or not pattern.any():
+            continue
+        runs: list[tuple[tuple[int, ...], int]] = [((), times)]
+        for k, i in enumerate(i for i, p in enumerate(pattern) for _ in range(p)):
+            todo, runs = runs, []
+            for lengths, bins in todo:
+                while bins:  # long ones meet short ones
+                    n = next(n for n in (members[i] if k % 2 else members[i][::-1]) if left[n])
+                    m = min(bins, left[n])
+                    left[n] -= m
+                    bins -= m
+                    runs.append(((*lengths, n), m))
+        for lengths, bins in runs:
+            if capacity - sum(lengths) <= TIGHT * capacity:
+                room.add(lengths, bins)
+            else:  # too much was rounded up here
+                for n in lengths:
+                    left[n] += bins
+    room.fit(left)
+    # Rounding up costs room that small documents may not suffice to fill: bins that are not full are
+    # opened again and their documents packed best-fit among themselves.
+    full, again, rest = [], _Room(capacity), defaultdict(int)
+    for lengths, bins in room.all():
+        if sum(lengths) == capacity:
+            full.append((lengths, bins))
+        for n in lengths if sum(lengths) < capacity else ():
+            rest[n] += bins
+    again.fit(rest)
+    chosen = min(room.all(), full + again.all(), key=lambda found: sum(bins for _, bins in found))
+    out, used, first = [], defaultdict(int), 0
+    for lengths, bins in chosen:
+        offset = 0
+        for n in lengths:
+            out.append((n, used[n], used[n] + bins, first, offset))
+            used[n] += bins
+            offset += n
+        first += bins
     return out
 
 
