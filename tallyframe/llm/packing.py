@@ -13,6 +13,7 @@ first+1, ... at one offset.  Only this bounded list is sent to the executors.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -35,7 +36,9 @@ TIGHT = 1 / 128
 #: Documents of one length are ranked in so many parts, by a hash.
 PARTS = 256
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
+#: Marks that may follow a word and are one run of their own; not the apostrophe, which may join it.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Words(dict):
@@ -53,50 +56,74 @@ class _Words(dict):
 
 class Encoder:
     """Token ids of texts.  No token of this vocabulary spans white space, so a text's ids are its
-    words' ids one after another, and each distinct word is encoded once."""
+    words' ids one after another, and each distinct word is encoded once.  Words of letters, with or
+    without marks after them, are encoded many at a time: each run of letters or marks ends with a
+    token that is an end of word, so the ends tell the words apart."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a run of letters or marks
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.ids, self.first = _Words(), [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
+        self.words, self.ids = _Words(), np.zeros(0, np.uint32)
+        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _runs(word: str) -> int:
+        """1: letters; 2: letters and then marks; 0: anything else."""
+        core = word.rstrip(_MARKS)
+        if not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):
+            return 0
+        return 1 + (len(core) < len(word))
 
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
-        found: list = [None] * len(new)
-        plain = [i for i, w in enumerate(new) if w.isalpha() and (w.isascii() or normalize("NFC", w).lower().isalpha())]
-        parts = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-        texts = [" ".join([new[i] for i in p]) for p in parts]
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        base = len(self.first)
+        first, count, out, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.ids], len(self.ids)
+        runs = np.fromiter(map(self._runs, new), np.int64, len(new))
+        todo = np.flatnonzero(runs)
+        rest = np.flatnonzero(runs == 0).tolist()
+        parts = [todo[i : i + 2000] for i in range(0, len(todo), 2000)]
+        for p, e in zip(parts, self._encode([" ".join([new[i] for i in q.tolist()]) for q in parts]), strict=True):
             ids = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(p):
-                for i, a, b in zip(p, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
-                    found[i] = ids[a:b]
-        rest = [i for i in range(len(new)) if found[i] is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
-            found[i] = np.array(e.ids, np.uint32)
-        self.ids = [np.concatenate([*self.ids, *found])]
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
+            if len(ends) != runs[p].sum():
+                rest += p.tolist()
+                continue
+            ends = ends[np.cumsum(runs[p]) - 1]
+            begin = np.r_[0, ends[:-1]]
+            first[p], count[p] = size + begin, ends - begin
+            out.append(ids)
+            size += len(ids)
+        for lo in range(0, len(rest), 2000):
+            for i, e in zip(rest[lo : lo + 2000], self._encode([new[i] for i in rest[lo : lo + 2000]]), strict=True):
+                first[i], count[i] = size, len(e.ids)
+                out.append(np.array(e.ids, np.uint32))
+                size += len(e.ids)
+        self.ids, self.first, self.count = np.concatenate(out), np.r_[self.first, first], np.r_[self.count, count]
+        assert len(self.first) == base + len(new)
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > KEPT_WORDS:
             self._forget()
         number = self.words.__getitem__
-        at = [np.fromiter(map(number, t.split()), np.int64) for t in texts]
+        at = [np.fromiter(map(number, t.split()), np.int32) for t in texts]
         if self.words.new:
             self._learn()
-        ids, first, out = self.ids[0], self.first, []
+        out = []
         for w in at:
-            n = first[w + 1] - first[w]
+            n = self.count[w]
             end = np.cumsum(n)
-            out.append(ids[np.arange(end[-1] if len(w) else 0) - np.repeat(end - n - first[w], n)])
+            out.append(self.ids[np.arange(end[-1] if len(w) else 0) + np.repeat(self.first[w] - end + n, n)])
         return out
 
 
@@ -123,7 +150,7 @@ def _pieces(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32).  A null or blank text is the one id that ends it."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
