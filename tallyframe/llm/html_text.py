@@ -209,11 +209,9 @@ def extract(html: str) -> str:
     for at, text, in_links, is_p in page.blocks:
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1, in_links / len(text)))
         up, level = page.parent[at] if is_p else at, 0
-        while up > 0 and level < LEVELS:
+        while up >= 0 and level < LEVELS:
             score[up] += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = page.parent[up], level + 1
-    if not score:  # text outside all elements
-        return "\n".join(t for at, t, k, _ in page.blocks if at == 0 and k < len(t))
     final = {e: (s + page.weight[e]) * (1 - linked[e] / max(1, chars[e])) for e, s in score.items()}
     best = max(final, key=lambda e: (final[e], -e))
     if final[best] <= 0:
@@ -224,7 +222,7 @@ def extract(html: str) -> str:
             top = up
         up = page.parent[up]
     kept = {top}
-    if page.tag[top] not in ("article", "main", "body", "html"):
+    if page.tag[top] not in ("article", "main", "body", "html", "#"):
         least = max(10.0, SIBLING_SHARE * final[best])
         for e in range(1, len(page.tag)):
             if page.parent[e] != page.parent[top] or not chars[e]:
