@@ -211,6 +211,16 @@ def _compared(batches):
         yield from flush(key, fp)
 
 
+def _roots(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, root): each with the one that stands for its component."""
+    small_batches(fps.sparkSession, 50_000)
+    spread = fps.select("fp").repartition("fp").mapInArrow(_replicate, "key int, fp long")
+    dealt = spread.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+    edges = cut(dealt.mapInArrow(_compared, "a long, b long"))
+    root = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    return fps.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row for each input row.  component_id is the smallest
     non-null id among all rows that links of at most 2 differing bits reach (null if none has an id).
@@ -218,14 +228,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and blank texts have fingerprint zero and link like any other.  Repeated rows stay, with
     equal results.  An empty table gives an empty result.  Other columns are ignored."""
     rows = cut(fingerprints(docs, id_col, text_col))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    spark = docs.sparkSession
-    small_batches(spark, 50_000)
-    spread = distinct.select("fp").repartition("fp").mapInArrow(_replicate, "key int, fp long")
-    dealt = spread.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    edges = cut(dealt.mapInArrow(_compared, "a long, b long"))
-    root = components(edges).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = distinct.join(root, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _roots(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))))
     of_root = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = cut(rooted.join(of_root, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of documents that stay when one of each component is kept: that of the smallest id,
+    rows without an id last, then of the smallest digest of the text; of rows equal in both, any one."""
+    columns = docs.columns
+    small_batches(docs.sparkSession)
+    sums = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty().cast("binary")).alias("digest"), text_or_empty().cast("binary").alias("text"))
+
+    def marked(batches):
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "digest", "fp"])
+
+    rows = cut(sums.mapInArrow(marked, "doc_id long, digest string, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("one")
+    of_fp = cut(rows.groupBy("fp").agg(first))
+    kept = _roots(of_fp).groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("k_id"), F.col("one.digest").alias("k_digest"))
+    often = rows.groupBy("doc_id", "digest").agg((F.count("*") > 1).alias("often"))
+    kept = cut(kept.join(often, F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_digest") == F.col("digest"))).select("k_id", "k_digest", "often"))
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.md5(text_or_empty().cast("binary")) == F.col("k_digest"))
+    found = docs.join(kept, same)
+    return found.where("NOT often").select(*columns).unionByName(found.where("often").dropDuplicates(["k_id", "k_digest"]).select(*columns))
