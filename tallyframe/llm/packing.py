@@ -36,7 +36,7 @@ TIGHT = 1 / 128
 #: Documents of one length are ranked in so many parts, by a hash.
 PARTS = 256
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 #: Marks that may follow a word and are one run of their own; not the apostrophe, which may join it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -77,6 +77,11 @@ class Encoder:
     @staticmethod
     def _runs(word: str) -> int:
         """1: letters; 2: letters and then marks; 0: anything else."""
+        if word.isascii():
+            if word.isalpha():
+                return 1
+            if word[:-1].isalpha() and word[-1] in _MARKS:
+                return 2
         core = word.rstrip(_MARKS)
         if not core.isalpha() or not (core.isascii() or normalize("NFC", core).lower().isalpha()):
             return 0
