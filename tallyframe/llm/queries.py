@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_chat, q_html, q_jpeg, q_lattice, q_mixing, q_packing, q_pii, q_quality, q_simhash
+from . import q_chat, q_html, q_jpeg, q_lattice, q_mixing, q_packing, q_pii, q_quality, q_simhash, q_substrings
 
-_MODULES = (q_chat, q_html, q_jpeg, q_lattice, q_mixing, q_packing, q_pii, q_quality, q_simhash)
+_MODULES = (q_chat, q_html, q_jpeg, q_lattice, q_mixing, q_packing, q_pii, q_quality, q_simhash, q_substrings)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
