@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +33,28 @@ def _not_a_number(text: str):
     raise ValueError(text)
 
 
+_NUMBER = re.compile(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+
+
+def _size(value: object) -> int:
+    """A whole number of 64 bits; text that spells one, and 5.0 for 5, will do."""
+    if isinstance(value, str) and _NUMBER.fullmatch(value):
+        value = float(value) if set(value) & set(".eE") else int(value)
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    if type(value) is not int or not 0 <= value < 1 << 64:
+        raise ValueError("fileSize is not a size")
+    return value
+
+
 def parse_line(line: bytes) -> tuple[str, int, str]:
     try:
         row = json.loads(line.decode("utf-8"), object_pairs_hook=_unique, parse_constant=_not_a_number)
-        path, md5, size = row["remoteName"], row["md5"], row["fileSize"]
-    except (ValueError, KeyError, TypeError) as e:
+        path, md5, size = row["remoteName"], row["md5"], _size(row["fileSize"])
+        path.encode()
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise ManifestError("InvalidManifestJson", str(e)) from None
-    if not isinstance(path, str) or not isinstance(md5, str) or type(size) is not int or not 0 <= size < 1 << 64:
+    if not isinstance(path, str) or not isinstance(md5, str):
         raise ManifestError("InvalidManifestJson", "a field is of another type")
     return path, size, md5
 

@@ -127,6 +127,14 @@ def test_bad_manifests(text, kind):
     assert e.value.kind == kind
 
 
+def test_sizes_in_other_spellings():
+    for text, size in (('"5"', 5), ("5.0", 5), ("5e1", 50), ('"18446744073709551615"', (1 << 64) - 1)):
+        assert sources.parse_line(('{"remoteName":"a","md5":"","fileSize":%s}' % text).encode())[1] == size
+    for text in ("5.5", "true", "null", '"x"', "18446744073709551616", "-1", "[5]", "1e30"):
+        with pytest.raises(ManifestError, match="InvalidManifestJson"):
+            sources.parse_line(('{"remoteName":"a","md5":"","fileSize":%s}' % text).encode())
+
+
 def test_manifest_source(spark, tmp_path):
     text = line("a", b"x") + "\n\n \r\n" + line("é", b"yy").replace('"fileSize": 2', '"fileSize": 18446744073709551615')
     (tmp_path / "pkg_version").write_text(text)
