@@ -167,6 +167,6 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of documents that assess() keeps, with their columns as they are.  The texts are
     measured twice, once for the references, instead of writing a copy of the corpus."""
-    columns = docs.columns
     refs = cut(references(measured(docs.select("text", "lang")).select("m")))
-    return judged(measured(docs), refs).where("kept").select(*columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text", "lang")
+    return judged(measured(rows), refs).where("kept").select("row.*")

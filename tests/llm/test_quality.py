@@ -50,7 +50,9 @@ def test_junk_goes_and_prose_stays(spark):
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(clean + junk)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.kept for r in quality.assess(docs).collect()}
     assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 70))
-    assert sorted(r.doc_id for r in quality.kept(docs).collect()) == list(range(60))
+    more = docs.selectExpr("*", "doc_id AS m", "'x' AS kept", "1 AS ref_lang")
+    stay = quality.kept(more).collect()
+    assert sorted(r.doc_id for r in stay) == list(range(60)) and all(r.m == r.doc_id and r.kept == "x" for r in stay)
 
 
 def test_empty_table(spark):
