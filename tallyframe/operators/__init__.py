@@ -1 +1 @@
-"""See the modules."""
+"""Queries over the plans, for tables that stand in for files."""

@@ -1 +1 @@
-"""See the modules."""
+"""DataFrame in, DataFrame out."""

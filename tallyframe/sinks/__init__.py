@@ -1 +1 @@
-"""See the modules."""
+"""What changes files."""

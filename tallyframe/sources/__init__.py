@@ -1 +1 @@
-"""See the modules."""
+"""Manifests, file trees and archives as DataFrames."""

@@ -1 +1 @@
-"""See the modules."""
+"""Empty: none of the operations has a stream."""
