@@ -116,7 +116,8 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with one more column, m: the base counts and both histograms."""
+    """docs with one more column, m: the base counts and both histograms.  It is the one element of
+    an exploded array, for a filter on it would else be pushed below and compute it anew for each use."""
 
     def of(text: Column, lang: Column) -> Column:
         return let(text, lambda t: let(words(t), lambda w: let(class_counts(t), lambda c: let(repeated_words(w), lambda r: F.struct(
@@ -125,7 +126,7 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             ((F.size(w) < MIN_WORDS) | (r > MAX_REPEATED * F.size(w))).alias("base_failed"), c.alias("chars"), common_counts(w, lang).alias("common"))))))
 
     lang = F.when(F.col(lang_col).isin(*COMMON), F.col(lang_col)).otherwise(F.lit("other"))
-    return docs.withColumn("m", of(text_or_empty(text_col), lang))
+    return docs.select("*", F.explode(F.array(of(text_or_empty(text_col), lang))).alias("m"))
 
 
 def references(rows: DataFrame) -> DataFrame:
