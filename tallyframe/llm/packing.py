@@ -14,6 +14,7 @@ first+1, ... at one offset.  Only this bounded list is sent to the executors.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -39,6 +40,14 @@ PARTS = 256
 KEPT_WORDS = 800_000
 #: Marks that may follow a word and are one run of their own; not the apostrophe, which may join it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: White space to str.split() and to Python's \s, but tokens of their own to the tokenizer.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile(rf"[\S{_SEPARATORS}]+")
+
+
+def _split(text: str) -> list[str]:
+    """Words between the tokenizer's white space."""
+    return _WORD.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
 
 
 class _Words(dict):
@@ -121,7 +130,7 @@ class Encoder:
         if len(self.words) > KEPT_WORDS:
             self._forget()
         number = self.words.__getitem__
-        at = [np.fromiter(map(number, t.split()), np.int32) for t in texts]
+        at = [np.fromiter(map(number, _split(t)), np.int32) for t in texts]
         if self.words.new:
             self._learn()
         out = []

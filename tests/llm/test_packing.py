@@ -53,6 +53,23 @@ def test_word_by_word_ids_equal_the_tokenizers(texts):
         assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+SEPARATED = ["ab\x1ccd", "\x1c", "a\x1d\x1e b\x1f", "Word,\x1fword. \x1c\n\x85x\u2028y", "é\x1dé", "plain words"]
+
+
+def test_separators_that_only_python_splits_at_are_tokens():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(TOKENIZER)
+    got = packing.Encoder(TOKENIZER).encode(SEPARATED)
+    assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in SEPARATED]
+    assert got[0].tolist() == [3937, 472, 4480]
+
+
+def test_packing_texts_with_separators(spark):
+    got = packing.pack(spark.createDataFrame(list(enumerate(SEPARATED)), "doc_id long, text string"), TOKENIZER).collect()
+    assert {r.doc_id: r.length for r in got}[0] == 4 and sorted(r.doc_id for r in got) == list(range(len(SEPARATED)))
+
+
 def test_packing_a_table(spark, texts):
     from tokenizers import Tokenizer
 
