@@ -4,7 +4,8 @@ Each paragraph earns points for its length and its commas, less the share of its
 and passes them up: all to its parent, half to the grandparent, and a falling share further up.  The
 element with the most points, its own link density discounted, is the article; siblings with a good
 part of its score, and plain paragraphs beside it, belong to it as well.  Parts that are never article
-text by tag, role or class - menus, forms, adverts, comments and the like - are left out of both.
+text by tag or role - menus, forms, adverts and the like - are left out of both, and so are those that
+a class or id calls so, unless what they hold shows the name to be wrong (see `_wrong_parts`).
 """
 
 from __future__ import annotations
@@ -31,6 +32,12 @@ _NOT_TEXT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promotion promotions related recommended reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 _TEXT = frozenset("article body content entry main post story text".split())
+#: Of the former, those that may well hold most of a page's text and yet not be the article.
+_OTHERS = frozenset("comment comments disqus recommended related replies reply respond".split())
+#: Names that begin or end so tell of a state (has-sidebar, comments-off) or a kind of text (long-form).
+_STATE_FIRST = frozenset("free has hide is long no non not with without".split())
+_STATE_LAST = frozenset("closed disabled none off".split())
+_WHOLE = ("body", "html", "article", "main")
 _WORDS = re.compile(r"[a-z]+")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -43,10 +50,14 @@ MAX_DEPTH, LEVELS = 512, 10
 
 
 class _Page:
-    """Elements as parallel lists, and the blocks of text in page order."""
+    """Elements as parallel lists, and the blocks of text in page order.  Elements in `drop` are
+    left out for their names."""
 
-    def __init__(self) -> None:
+    def __init__(self, drop: frozenset[int] = frozenset()) -> None:
+        self.drop = drop
         self.parent, self.tag, self.skip, self.weight = [-1], ["#"], [False], [0.0]
+        self.named: dict[int, tuple[set[str], bool]] = {}  # element: words of _NOT_TEXT, has it a name of _TEXT alone
+        self.articles: set[int] = set()  # by tag or role
         self.blocks: list[tuple[int, str, int, bool]] = []  # element, text, characters in links, is a p
         self.stack, self.links = [0], 0
         self.text: list[str] = []
@@ -77,16 +88,27 @@ class _Page:
             self.words(" ")
         if tag in _VOID:
             return
-        skip, weight = self.skip[self.stack[-1]] or tag in _SKIP, 25.0 if tag in ("article", "main") else 0.0
+        e = len(self.tag)
+        skip, weight, article = self.skip[self.stack[-1]] or tag in _SKIP or e in self.drop, 25.0 if tag in ("article", "main") else 0.0, tag in ("article", "main")
+        wrong, right = set(), False
         for m in _ATTR.finditer(attrs) if attrs and not skip else ():
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "role":
                 skip |= value.strip() in _ROLES
                 weight += 25 * (value.strip() in ("main", "article"))
+                article |= value.strip() in ("main", "article")
                 continue
-            for w in _WORDS.findall(value):
-                skip |= w in _NOT_TEXT and tag not in ("body", "html", "article", "main")
-                weight += 25 * (w in _TEXT)
+            for name in value.split():
+                words = _WORDS.findall(name)
+                weight += 25 * sum(w in _TEXT for w in words)
+                right |= bool(words) and _TEXT.issuperset(words)
+                if words and words[0] not in _STATE_FIRST and words[-1] not in _STATE_LAST:
+                    wrong |= _NOT_TEXT.intersection(words)
+        if wrong and not skip:
+            self.named[e] = wrong, right
+            weight -= 25 * len(wrong) * (tag not in _WHOLE)
+        if article and not skip:
+            self.articles.add(e)
         if skip and not self.skip[self.stack[-1]]:
             self.words(" ")
             self.flush()
@@ -133,8 +155,8 @@ class _Page:
         del self.stack[i:]
 
 
-def _parsed(html: str) -> _Page:
-    page, at, n = _Page(), 0, len(html)
+def _parsed(html: str, drop: frozenset[int] = frozenset()) -> _Page:
+    page, at, n = _Page(drop), 0, len(html)
     lower, no_end = html.lower() if html.isascii() else None, set()
     while at < n:
         lt = html.find("<", at)
@@ -192,9 +214,46 @@ def _parsed(html: str) -> _Page:
     return page
 
 
+def _wrong_parts(page: _Page) -> frozenset[int]:
+    """Of a page without drops, the elements whose names are right in calling them no article text.
+
+    A name is wrong if another name of the element is one of text alone; if most of what the page has
+    in article and main elements is in the element; or if most of the page's unlinked text is.  The
+    last doesn't hold for comments and the like, nor do these count in the page's text."""
+    n = len(page.tag)
+    inside, gone = [False] * n, [False] * n
+    for e in range(1, n):
+        inside[e] = inside[page.parent[e]] or (e in page.articles and e not in page.named)
+    drop: set[int] = set()
+    for others in (True, False):
+        text, marked = [0] * n, [0] * n
+        for at, block, linked, _ in page.blocks:
+            if not gone[at]:
+                text[at] += len(block) - linked
+                marked[at] += (len(block) - linked) * inside[at]
+        for e in range(n - 1, 0, -1):
+            text[page.parent[e]] += text[e]
+            marked[page.parent[e]] += marked[e]
+        for e in range(1, n):
+            gone[e] |= gone[page.parent[e]]
+            words, right = page.named.get(e, (frozenset(), True))
+            if gone[e] or right or page.tag[e] in _WHOLE or others == _OTHERS.isdisjoint(words):
+                continue
+            if 2 * marked[e] <= marked[0] and (others or 2 * text[e] <= text[0]):
+                drop.add(e)
+                gone[e] = True
+    return frozenset(drop)
+
+
 def extract(html: str) -> str:
-    """The article's blocks, joined by line ends; empty if there is none."""
+    """The article's blocks, joined by line ends; empty if there is none.  If nothing is left without
+    the parts that their names call no text, these are the page's text."""
     page = _parsed(html or "")
+    drop = _wrong_parts(page) if page.named else frozenset()
+    return (_article(_parsed(html, drop)) if drop else "") or _article(page)
+
+
+def _article(page: _Page) -> str:
     if not page.blocks:
         return ""
     score: dict[int, float] = defaultdict(float)

@@ -30,6 +30,34 @@ def test_siblings_of_the_best_container_are_kept():
     assert [x.split(",")[0] for x in got.split("\n")] == ["Part 0", "Part 1", "Part 2"]
 
 
+PARAGRAPHS = "".join(f"<p>Part {i}, has, commas, and words {'on and on ' * 20}</p>" for i in range(5))
+
+
+def parts(html):
+    return [x.split(",")[0] for x in extract(html).split("\n")]
+
+
+def test_a_word_of_a_name_does_not_lose_the_article():
+    want = [f"Part {i}" for i in range(5)]
+    around = "<div class='ad'><p>Buy this, now, please.</p></div>{}<div id=footer><p>Imprint, and, so on.</p></div>"
+    for names in ("content has-sidebar", "no-sidebar", "long-form", "header-and-body", "comments-off", "page-header-wrap", "sidebar content", "widget"):
+        for inner in (PARAGRAPHS, f"<article>{PARAGRAPHS}</article>"):
+            assert parts("<body>" + around.format(f"<div class='{names}'>{inner}</div>") + "</body>") == want, names
+            assert parts("<body>" + around.format(f"<section id='{names.split()[0]}'><div>{inner}</div></section>") + "</body>") == want, names
+    sections = "".join(f"<div class='row no-sidebar'>{p}</p></div>" for p in PARAGRAPHS.split("</p>")[:-1])
+    assert parts("<body>" + around.format(f"<div id=wrap>{sections}</div>") + "</body>") == want
+    assert parts("<div class='comments'><article>" + PARAGRAPHS + "</article></div><p>Imprint.</p>") == want
+    assert extract("<div class='sidebar'><p>All there is.</p></div>") == "All there is."
+
+
+def test_parts_that_are_named_rightly_still_go():
+    short = "<div><p>Short, but, the article.</p><p>All of it, really, is here.</p></div>"
+    for tag in ("div", "article"):  # comments may be longer than the article, and articles themselves
+        assert parts(f"<body>{short}<div id=comments><{tag} class=comment>{PARAGRAPHS}</{tag}></div></body>") == ["Short", "All of it"]
+        assert parts(f"<body>{short}<ol class='comment-list'>{PARAGRAPHS}</ol></body>") == ["Short", "All of it"]
+    assert parts(f"<body><div class='no-sidebar'>{PARAGRAPHS}<div class='share'><p>Share this, now.</p></div></div><div class=sidebar><p>Other, things.</p></div></body>") == [f"Part {i}" for i in range(5)]
+
+
 def test_odd_pages():
     assert extract("") == "" and extract("   ") == "" and extract("<!-- x") == "" and extract("<nav><a>m</a></nav>") == ""
     assert extract("just text") == "just text"
