@@ -43,7 +43,8 @@ _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 #: Share of the best score from which a sibling belongs to the article.
 SIBLING_SHARE = 0.2
-#: A list or box of so many links, with at least this share of its text in them, is a menu.
+#: A list or box of so many links, with at least this share of its text in them, is a menu, unless it
+#: is a p or in an article or main element.
 MENU_LINKS, MENU_SHARE = 3, 0.8
 #: Elements deeper than this become siblings, as in browsers; levels up to which points are passed.
 MAX_DEPTH, LEVELS = 512, 10
@@ -294,11 +295,12 @@ def _article(page: _Page) -> str:
     out = []
     for at, text, _, _ in page.blocks:
         if at not in inside:
-            up, menu = at, False
+            up, menu, article = at, False, False
             while up > 0 and up not in kept:
-                menu |= links[up] >= MENU_LINKS and linked[up] >= MENU_SHARE * chars[up]
+                menu |= page.tag[up] != "p" and links[up] >= MENU_LINKS and linked[up] >= MENU_SHARE * chars[up]
+                article |= up in page.articles
                 up = page.parent[up]
-            inside[at] = up in kept and not menu
+            inside[at] = up in kept and (not menu or article or up in page.articles)
         if inside[at]:
             out.append(text)
     return "\n".join(out)

@@ -58,6 +58,15 @@ def test_parts_that_are_named_rightly_still_go():
     assert parts(f"<body><div class='no-sidebar'>{PARAGRAPHS}<div class='share'><p>Share this, now.</p></div></div><div class=sidebar><p>Other, things.</p></div></body>") == [f"Part {i}" for i in range(5)]
 
 
+def test_lists_of_links_in_the_article_are_kept():
+    refs = "<ol>" + "".join(f"<li><a href={i}>Reference {i}, of some length</a></li>" for i in range(4)) + "</ol>"
+    linked = "<p>" + " and ".join(f"<a href={i}>Linked {i}</a>" for i in range(4)) + "</p>"
+    listed = [f"Reference {i}" for i in range(4)]
+    assert parts(f"<body><article>{PARAGRAPHS}{linked}<section>{refs}</section></article></body>") == [f"Part {i}" for i in range(5)] + ["Linked 0 and Linked 1 and Linked 2 and Linked 3"] + listed
+    assert parts(f"<body><div role=main>{PARAGRAPHS}{refs}</div></body>")[5:] == listed
+    assert parts(f"<body><div id=wrap>{PARAGRAPHS}{linked}<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul></div></body>")[5:] == ["Linked 0 and Linked 1 and Linked 2 and Linked 3"]
+
+
 def test_odd_pages():
     assert extract("") == "" and extract("   ") == "" and extract("<!-- x") == "" and extract("<nav><a>m</a></nav>") == ""
     assert extract("just text") == "just text"
