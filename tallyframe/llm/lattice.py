@@ -30,8 +30,8 @@ ROUNDS = 2
 SMOOTH = 0.01
 #: Words whose scores a worker keeps; distinct words that a worker counts before it passes them on.
 KEPT_WORDS, COUNTED = 300_000, 400_000
-#: Longer words are scored one by one.
-LONG = 200
+#: Longer words are scored one by one, and counted in blocks.
+LONG, BLOCK = 200, 4096
 _CELLS = 1 << 21
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -171,17 +171,13 @@ class Lattice:
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece and byte in words that occur so often.  A long word counts by
-        the marginals of its parts of LONG characters, so that its memory is bounded."""
-        total = np.zeros(self.n + 257)
-        parts, weight = [], []
-        for w, c in zip(words, counts.tolist(), strict=True):
-            for i in range(0, max(1, len(w)), LONG):
-                parts.append(w[i : i + LONG])
-                weight.append(c)
-        weights = np.array(weight, float)
-        for _, at in self._groups(parts):
-            size, ids, single = self._edges([parts[i] for i in at])
+        """Expected uses of each piece and byte in words that occur so often."""
+        total, weights = np.zeros(self.n + 257), counts.astype(float)
+        for n, at in self._groups(words):
+            if n > LONG:
+                self._expected_long(words[at[0]], weights[at[0]], total)
+                continue
+            size, ids, single = self._edges([words[i] for i in at])
             alpha = self._forward(len(at), size, ids, single)
             beta = self._forward(len(at), size, ids, single, back=True)
             whole = alpha[-1]
@@ -195,6 +191,45 @@ class Lattice:
                         total[b] += use[codes == c].sum()
         return total
 
+    def _on(self, s: str, before: list[float], lo: int, hi: int) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
+        """Carries the logs of all ways to reach the places up to lo on to hi; with the pieces
+        (start, number or -1, log) that end at lo + 1 to hi."""
+        alpha, first, ends = list(before), lo - len(before) + 1, []
+        for j in range(lo + 1, hi + 1):
+            steps = []
+            for i in range(max(0, j - self.most), j):
+                if (k := self.by_text.get(s[i:j], -1)) >= 0:
+                    steps.append((i, k, float(self.logp[k])))
+                elif j - i == 1:
+                    steps.append((i, -1, float(sum(self.logp[b] for b in self.byte_ids(s[i])))))
+            alpha.append(_log_sum([alpha[i - first] + w for i, _, w in steps]))
+            ends.append(steps)
+        return alpha, ends
+
+    def _expected_long(self, word: str, count: float, total: np.ndarray) -> None:
+        """Adds the expected uses in a long word.  Of the places before a block, only the last that a
+        piece can reach back to are kept, and the block is run forward again on the way back."""
+        s = SPACE + word
+        at, kept = [*range(0, len(s), BLOCK), len(s)], [[0.0]]
+        for lo, hi in zip(at, at[1:], strict=False):
+            kept.append(self._on(s, kept[-1], lo, hi)[0][-self.most :])
+        whole, back = kept[-1][-1], {len(s): [0.0]}
+        for lo, hi, before in list(zip(at, at[1:], kept, strict=False))[::-1]:
+            alpha, ends = self._on(s, before, lo, hi)
+            first = lo - len(before) + 1
+            for j in range(hi, lo, -1):
+                beta = _log_sum(back.pop(j))
+                for i, k, w in ends[j - lo - 1]:
+                    back.setdefault(i, []).append(w + beta)
+                    use = math.exp(alpha[i - first] + w + beta - whole) * count
+                    for x in [k] if k >= 0 else self.byte_ids(s[i]):
+                        total[x] += use
+
+
+def _log_sum(x: list[float]) -> float:
+    m = max(x)
+    return m + math.log(sum(math.exp(t - m) for t in x))
+
 
 def _text_words(text: bytes) -> list[bytes]:
     return text.lower().split()

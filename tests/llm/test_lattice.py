@@ -54,6 +54,19 @@ def test_expected_counts_equal_brute_force(model):
     assert np.allclose(model.expected(words, counts), want)
 
 
+def test_expected_counts_of_long_words_are_those_of_the_whole_word(model, monkeypatch):
+    words, counts = ["https://example.org/" + "thing/été?id=日x&" * 20, "x" * 201, "abc" * 150], np.array([3.0, 1, 2])
+    got = model.expected(words, counts)
+    for block in (7, 100, 203):
+        monkeypatch.setattr(lattice, "BLOCK", block, raising=False)
+        assert np.allclose(model.expected(words, counts), got, rtol=1e-9)
+    monkeypatch.setattr(lattice, "LONG", 1000)  # all at once
+    assert np.allclose(got, model.expected(words, counts), rtol=1e-9)
+    space = sum(got[i] for i, p in enumerate(model.pieces) if p.startswith(lattice.SPACE))
+    mark = got[model.byte_ids(lattice.SPACE)[0]] if lattice.SPACE not in model.by_text else 0
+    assert math.isclose(space + mark, counts.sum(), rel_tol=1e-9)  # one space mark a word
+
+
 def test_scores_of_a_table(spark):
     base = [None, "", "The thing and the thing", "a b c THE", "été ening", "unseen wörds here", "x" * 1000, "the the the"]
     rows = [(i, base[i % len(base)] if i < 40 else f"the w{i} and w{i}", 1) for i in range(80)] + [(3, "a b c THE", 1), (None, "q", 1)]
