@@ -104,13 +104,15 @@ class Template:
     render: Callable[[list[Turn]], str] = chatml
     read: Callable[[str], tuple[str, str, int, int]] = read_turn
     #: Turns before a turn that its rendering may depend on; None: any, so all are rendered each time.
-    context: int | None = 0
+    #: A number is a promise that isn't checked; without one, only chatml is known to look at none.
+    context: int | None = None
     #: Roles whose texts the loss mask covers.
     trained: tuple[str, ...] = ("assistant",)
 
     def pieces(self, turns: Iterable[Turn], window: int = WINDOW) -> Iterator[str]:
         """The span of each turn, in order; together they are the output."""
-        if self.context is None:
+        context = 0 if self.context is None and self.render is chatml else self.context
+        if context is None:
             out, found = spans(self.render, list(turns))
             yield from (out[a:b] for a, b in found)
             return
@@ -121,7 +123,7 @@ class Template:
             nonlocal behind, ahead
             out, found = spans(self.render, behind + ahead)
             yield from (out[a:b] for a, b in found[len(behind) :])
-            behind, ahead = (behind + ahead)[len(behind + ahead) - self.context :], []
+            behind, ahead = (behind + ahead)[len(behind + ahead) - context :], []
 
         for turn in turns:
             ahead.append(turn)

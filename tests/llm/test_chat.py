@@ -42,6 +42,18 @@ def test_templates_with_a_header_and_context():
         assert list(chat.Template(render=render, context=1).pieces(turns, window)) == whole
 
 
+def test_templates_that_look_back_over_windows_need_no_promise():
+    turns = [("u", f"t{i}") for i in range(80)]
+    numbered = lambda turns: "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
+    assert list(chat.Template(render=numbered).pieces(turns)) == [f"{i}:t{i};" for i in range(80)]
+    first_says_last = lambda turns: "".join(t + ("!" if i == 0 and len(turns) > 50 else "") for i, (_, t) in enumerate(turns))
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.Template(render=first_says_last).pieces(turns))
+    seen = []  # a conversation in chatml is still streamed
+    for span, turn in zip(chat.Template().pieces(seen.append(i) or t for i, t in enumerate(turns)), turns, strict=True):
+        assert chat.read_turn(span)[1] == turn[1] and len(seen) <= int(turn[1][1:]) + chat.WINDOW
+
+
 def test_formatting_a_table(spark):
     rows = [(1, 1, "assistant", "hi " + HOSTILE), (1, 0, "user", None), (2, 0, "assistant", ""), (None, 0, None, "x"), (3, 5, "user", "b"), (3, 5, "user", "a"), (3, 5, "user", "a"), (3, None, "system", "first\né")]
     rows += [(7, i, "assistant" if i % 2 else "user", f"t{i} " * 50) for i in range(3000)]
