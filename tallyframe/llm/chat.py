@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import bounded, text_or_empty
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns that are rendered together.
@@ -83,11 +83,12 @@ def read_turn(span: str) -> tuple[str, str, int, int]:
 
 
 def spans(render: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str, list[tuple[int, int]]]:
-    """The output for all turns, and each turn's (start, end) in it.  What stands before the first
-    turn, or is there without any, belongs to no turn."""
+    """The output for all turns, and each turn's (start, end) in it.  What is there without any turn
+    belongs to none; of a template that refuses an empty list with a LookupError or ValueError, what
+    stands before the first turn belongs to that."""
     try:
         before = render([])
-    except Exception:  # some templates refuse an empty list
+    except (LookupError, ValueError):
         before = ""
     found = []
     for k in range(1, len(turns) + 1):
@@ -109,20 +110,27 @@ class Template:
     #: Roles whose texts the loss mask covers.
     trained: tuple[str, ...] = ("assistant",)
 
-    def pieces(self, turns: Iterable[Turn], window: int = WINDOW) -> Iterator[str]:
-        """The span of each turn, in order; together they are the output."""
+    def pieces(self, turns: Iterable[Turn], window: int = WINDOW) -> Iterator[tuple[bool, str]]:
+        """The output in parts: (is it a turn, its text).  What the template puts before the first turn
+        is a part of its own, where there is any; then each turn's span follows, in order."""
         context = 0 if self.context is None and self.render is chatml else self.context
         if context is None:
             out, found = spans(self.render, list(turns))
-            yield from (out[a:b] for a, b in found)
+            if found and found[0][0]:
+                yield False, out[: found[0][0]]
+            yield from ((True, out[a:b]) for a, b in found)
             return
+        begun = False
         behind: list[Turn] = []
         ahead: list[Turn] = []
 
-        def flush() -> Iterator[str]:
-            nonlocal behind, ahead
+        def flush() -> Iterator[tuple[bool, str]]:
+            nonlocal behind, ahead, begun
             out, found = spans(self.render, behind + ahead)
-            yield from (out[a:b] for a, b in found[len(behind) :])
+            if not begun and found[0][0]:
+                yield False, out[: found[0][0]]
+            begun = True
+            yield from ((True, out[a:b]) for a, b in found[len(behind) :])
             behind, ahead = (behind + ahead)[len(behind + ahead) - context :], []
 
         for turn in turns:
@@ -153,6 +161,10 @@ class Digest:
         self.chars += len(span)
         return masked
 
+    def skip(self, text: str) -> None:
+        """Text of no turn."""
+        self.chars += len(text)
+
     def row(self) -> tuple:
         return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
@@ -183,8 +195,8 @@ def _formatted(template: Template, keep_output: bool):
                         return
                     yield row[2], row[3]
 
-            for span in template.pieces(turns()):
-                masked = digest.add(span)
+            for is_turn, span in template.pieces(turns()):
+                masked = digest.add(span) if is_turn else digest.skip(span)
                 if keep_output:
                     out.append(span)
                     mask += [masked] if masked else []
@@ -215,8 +227,7 @@ def formatted(turns: DataFrame, template: Template | None = None, keep_output: b
     Null texts and roles are empty; rows with null conv_id form one conversation.  Turns go by
     number, nulls first, and equal numbers by role and text; repeated rows all count.  An empty table
     gives an empty result; other columns are ignored."""
-    small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text_or_empty().alias("text"), F.col("turn").alias("turn"))
     dealt = rows.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text").select("conv_id", "role", "text")
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long" + ", formatted string, loss_spans array<struct<start:long,end:long>>" * keep_output
-    return dealt.mapInArrow(_formatted(template or Template(), keep_output), kind)
+    return dealt.mapInArrow(bounded(_formatted(template or Template(), keep_output)), kind)

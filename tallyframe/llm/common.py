@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,27 +20,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (local tests)."""
+    """The folder that driver and executors share.  Where none is set, a temporary one serves a local
+    session; on a cluster each machine would write to its own, so that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder.  It is deleted when the program ends, or earlier by
+    drop_tables()."""
+    path = f"{shared_folder(spark)}/tallyframe/{spark.sparkContext.applicationId}"
+    if path not in _folders:
+        _folders[path] = spark
+    return path
+
+
+_folders: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def drop_tables() -> None:
+    """Deletes all intermediate tables of this program; frames that read them can't be used any more."""
+    for path, spark in list(_folders.items()):
+        with contextlib.suppress(Exception):  # a session that has ended may have lost its files or its JVM
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        del _folders[path]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later steps neither
     recompute it nor depend on the executors that made it, and the planner knows its size."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tallyframe/{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Bounds what a Python worker holds at once: an Arrow batch ends at so many rows or bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def bounded(run, rows: int = 1000, size: int = 16 << 20):
+    """run, a function for mapInArrow, on parts of the batches that hold about so many rows and bytes at
+    most.  The batches themselves are bounded by the session's settings (64 MB unless changed)."""
+
+    def parts(batches):
+        for batch in batches:
+            step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+            for lo in range(0, batch.num_rows, step):
+                yield batch.slice(lo, step)
+
+    return lambda batches: run(parts(batches))
 
 
 def let(value: Column, body) -> Column:

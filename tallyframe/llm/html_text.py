@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded
 
 # Elements by role in HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -316,7 +316,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(page_id, url, text, n_chars), one row for each input row.  Null and blank pages have empty
     texts; repeated rows get equal results; an empty table gives an empty result; other columns are
     ignored."""
-    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    out = rows.mapInArrow(_extracted, "page_id long, url string, text string")
+    out = rows.mapInArrow(bounded(_extracted), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

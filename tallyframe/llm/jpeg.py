@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import bounded, text_or_empty
 
 UNIT = 192
 #: Side of the square to which thumbnails are pooled for the average hash.
@@ -326,8 +326,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts are one unit of blanks.  Repeated rows get equal values.  An empty table gives
     an empty result; other columns are ignored."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     kind = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
             "width long, height long, thumbnail_sha256 string, average_hash string") + ", media binary" * keep_media
-    return rows.mapInArrow(_stored(keep_media), kind)
+    return rows.mapInArrow(bounded(_stored(keep_media)), kind)

@@ -6,7 +6,10 @@ sums over all of them.  Expectation-maximisation over the word counts of the tra
 the pieces' probabilities.  A text's score is the log of the product over its words and its end.
 
 Beside it stands a plain word model with one added to each count.  Its counts grow with the corpus, so
-they are joined, not sent around: only the most frequent words, at most HEAD of them, go to the workers.
+they are joined, not sent around: only the most frequent words, at most HEAD of them and HEAD_BYTES in
+all, go to the workers.
+
+What is summed over rows in no fixed order is summed in whole numbers of small units, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_or_empty
+from .common import bounded, cut, text_or_empty
 
 SPACE = "▁"
 FOLDS, HELD_OUT = 7, 2
-HEAD = 1 << 17
+HEAD, HEAD_BYTES = 1 << 17, 16 << 20
 ROUNDS = 2
 #: Added to each piece's expected count.
 SMOOTH = 0.01
@@ -33,6 +36,8 @@ KEPT_WORDS, COUNTED = 300_000, 400_000
 #: Longer words are scored one by one, and counted in blocks.
 LONG, BLOCK = 200, 4096
 _CELLS = 1 << 21
+#: Units of expected counts and of a word's log probability.
+_COUNT_UNIT, _LOG_UNIT = 2.0**-20, 2.0**-32
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -168,24 +173,25 @@ class Lattice:
             else:
                 size, ids, single = self._edges([words[i] for i in at])
                 out[at] = self._forward(len(at), size, ids, single)[-1]
-        return out
+        return np.round(out / _LOG_UNIT) * _LOG_UNIT
 
-    def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece and byte in words that occur so often."""
+    def expected(self, words: list[str], counts: np.ndarray, unit: float = 0.0) -> np.ndarray:
+        """Expected uses of each piece and byte in words that occur so often; if there is a unit, in whole
+        numbers of it for each word."""
         total, weights = np.zeros(self.n + 257), counts.astype(float)
         for n, at in self._groups(words):
             if n > LONG:
-                self._expected_long(words[at[0]], weights[at[0]], total)
+                self._expected_long(words[at[0]], weights[at[0]], total, unit)
                 continue
             size, ids, single = self._edges([words[i] for i in at])
             alpha = self._forward(len(at), size, ids, single)
             beta = self._forward(len(at), size, ids, single, back=True)
             whole = alpha[-1]
             for (i, k), found in ids.items():
-                use = np.exp(alpha[i] + self.logp[found] + beta[i + k] - whole) * weights[at]
+                use = _in_units(np.exp(alpha[i] + self.logp[found] + beta[i + k] - whole) * weights[at], unit)
                 total[: self.n + 1] += np.bincount(found + 1, use, self.n + 1)[np.r_[1 : self.n + 1, 0]] * np.r_[np.ones(self.n), 0]
             for i, (w, codes) in single.items():
-                use = np.exp(alpha[i] + w + beta[i + 1] - whole) * weights[at]
+                use = _in_units(np.exp(alpha[i] + w + beta[i + 1] - whole) * weights[at], unit)
                 for c in np.unique(codes[use > 0]):
                     for b in self.byte_ids(chr(c)):
                         total[b] += use[codes == c].sum()
@@ -206,7 +212,7 @@ class Lattice:
             ends.append(steps)
         return alpha, ends
 
-    def _expected_long(self, word: str, count: float, total: np.ndarray) -> None:
+    def _expected_long(self, word: str, count: float, total: np.ndarray, unit: float) -> None:
         """Adds the expected uses in a long word.  Of the places before a block, only the last that a
         piece can reach back to are kept, and the block is run forward again on the way back."""
         s = SPACE + word
@@ -221,11 +227,15 @@ class Lattice:
                 beta = _log_sum(back.pop(j))
                 for i, k, w in ends[j - lo - 1]:
                     back.setdefault(i, []).append(w + beta)
-                    use = math.exp(alpha[i - first] + w + beta - whole) * count
+                    use = float(_in_units(math.exp(alpha[i - first] + w + beta - whole) * count, unit))
                     for x in [k] if k >= 0 else self.byte_ids(s[i]):
                         total[x] += use
 
 
+def _in_units(x, unit: float):
+    return np.round(x / unit) if unit else x
+
+
 def _log_sum(x: list[float]) -> float:
     m = max(x)
     return m + math.log(sum(math.exp(t - m) for t in x))
@@ -257,10 +267,10 @@ def _expected(pieces: list[str], prob: np.ndarray):
         lattice, total = Lattice(pieces, prob), 0
         for batch in batches:
             words = [w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()]
-            total = total + lattice.expected(words, batch.column(1).to_numpy(zero_copy_only=False))
+            total = total + lattice.expected(words, batch.column(1).to_numpy(zero_copy_only=False), _COUNT_UNIT)
         if not isinstance(total, int):
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["piece", "n"])
 
     return run
 
@@ -270,10 +280,11 @@ def fit(counts: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> tuple[
     each piece of the vocabulary."""
     pieces, prob = vocabulary(path)
     for _ in range(rounds):
-        found = counts.mapInArrow(_expected(pieces, prob), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        used = counts.mapInArrow(_expected(pieces, prob), "piece int, n long")
+        found = used.groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
         total = np.zeros(len(prob))
         for r in sorted(found):
-            total[r.piece] = r.n
+            total[r.piece] = float(r.n) * _COUNT_UNIT
         total += SMOOTH
         total[-1] += ends
         prob = total / total.sum()
@@ -334,6 +345,19 @@ def _scored(pieces: list[str], prob: np.ndarray, head):
     return run
 
 
+def frequent(counts: DataFrame, head: int, size: int = HEAD_BYTES) -> dict[bytes, int]:
+    """The words of the highest counts, by steps of count, as long as they are at most `head` and have at
+    most `size` bytes.  The driver sees these and a table of under 512 steps."""
+    step = F.floor(8 * F.log2("c")).cast("int")
+    least, n, length = None, 0, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("size")).collect(), reverse=True):
+        n, length = n + r.n, length + r.size
+        if n > head or length > size:
+            break
+        least = r.step
+    return {} if least is None else {bytes(r.word): r.c for r in counts.where(step >= least).collect()}
+
+
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input
     row; scores are log10 probabilities.
@@ -344,22 +368,18 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS == HELD_OUT).alias("held_out")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), held)
-    small_batches(spark)
     train = rows.where("NOT held_out")
-    partial = train.select("text").mapInArrow(_counted, "word binary, c long")
+    partial = train.select("text").mapInArrow(bounded(_counted), "word binary, c long")
     counts = cut(partial.groupBy("word").agg(F.sum("c").alias("c")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = train.count()
     total, distinct = sums.n + ends, sums.v + (ends > 0)
-    small_batches(spark, 50_000)
     pieces, prob = fit(counts, path, ends, rounds)
-    frequent = {bytes(r.word): r.c for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()}
-    small_batches(spark, 500)
-    sent = spark.sparkContext.broadcast(frequent)
+    sent = spark.sparkContext.broadcast(frequent(counts, head))
     kind = "doc_id long, b long, i int, held_out boolean, n_words long, head_n long, head_sum double, score double, tail array<binary>, tail_n array<int>"
-    whole = cut(rows.mapInArrow(_scored(pieces, prob, sent), kind))
+    whole = cut(rows.mapInArrow(bounded(_scored(pieces, prob, sent), 500), kind))
     pairs = whole.select("b", "i", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("b", "i", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
-    rest = pairs.join(counts, "word").groupBy("b", "i").agg(F.sum(F.col("n").cast("long")).alias("tail_n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_sum"))
+    rest = pairs.join(counts, "word").groupBy("b", "i").agg(F.sum(F.col("n").cast("long")).alias("tail_n"), F.sum(F.round(F.col("n") * F.log10(F.col("c") + 1), 9).cast("decimal(28,9)")).cast("double").alias("tail_sum"))
     out = whole.drop("tail", "tail_n").join(rest, ["b", "i"], "left")
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) + math.log10(ends + 1) - (F.col("n_words") + 1) * math.log10(total + distinct + 1)
     return out.select("doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("head_n") + F.coalesce("tail_n", F.lit(0)) + int(ends > 0)).alias("n_known"),

@@ -5,8 +5,10 @@ each document draws an exponential key -ln(u) / quality, u from a digest of its
 documents with the smallest keys are taken while their running size stays nearest the budget.
 
 Running sums over a source that may hold a third of all rows are not made in one task: sizes are
-summed for 4,096 bins of the key, the one bin that the budget cuts is found from those sums, bins
-below it are taken whole, and only the rows of the cut bin are sorted.
+summed for bins of the key, the one bin that the budget cuts is found from those sums, bins below it
+are taken whole, and only the rows of the cut bin are sorted.  Bins are 1,024 steps for each doubling of
+the key: whatever the documents' weights are, a bin expects under 1 in 3,900 of a source's documents,
+and a source has under 65,536 bins.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import WORD, cut, text_or_empty
 WEIGHTS = (3, 1, 2)
 #: Words in the mix, and the most a source may give, as multiples of what there is.
 SHARE, LIMIT = 1.5, 2.0
-BINS = 4096
+#: Bins for each doubling of the key.
+STEPS = 1024
 
 
 def words(text: Column) -> Column:
@@ -44,7 +47,7 @@ def keys(doc_id: Column, text: Column) -> Column:
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> DataFrame:
     """(source, source_size) -> the same, target.  Water-filling: target = min(limit * size, level *
     weight) with the level at which the targets add up to the whole budget.  One row for each source
-    is all that is sorted here."""
+    is all that is sorted here, in one task: meant for up to some ten million sources."""
     by_source, whole = Window.orderBy(F.col("source").asc_nulls_last()), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(by_source) - 1) % len(weights) + 1).cast("int"))
     s = sources.withColumn("weight", weight).withColumn("most", limit * F.col("source_size"))
@@ -78,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                        words(text).alias("size"), keys(F.col(id_col), text).alias("key"), *keep)
-    rows = cut(rows.withColumn("bin", F.least(F.lit(BINS - 1), F.floor(BINS * (1 - F.exp(-F.col("key"))))).cast("int")))
+    rows = cut(rows.withColumn("bin", F.floor(STEPS * F.log2("key")).cast("int")))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
     plan = targets(bins.groupBy("source").agg(F.sum("in_bin").alias("source_size")), weights, share, limit)
     plan = cut(plan.withColumn("epochs", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("long"))

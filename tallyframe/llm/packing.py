@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_or_empty
+from .common import bounded, cut, text_or_empty
 
 CAPACITY = 2048
 END_ID = 0
@@ -164,9 +164,8 @@ def _pieces(path: str, capacity: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32).  A null or blank text is the one id that ends it."""
-    small_batches(docs.sparkSession, 500)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(bounded(_pieces(tokenizer, capacity), 500), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, float]]:
@@ -310,20 +309,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE,
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row for each piece.
 
-    Only documents over the capacity are cut.  Repeated rows are packed as often as they occur; which
+    Only documents over the capacity are cut.  Pieces that fill a sequence have one of their own, with a
+    negative number, and need no plan.  Repeated rows are packed as often as they occur; which
     of two equal pieces takes which of their two places is open.  Null ids stay null.  An empty table
     gives an empty result.  Other columns are ignored."""
     spark = docs.sparkSession
-    cutted = cut(pieces(docs, tokenizer, capacity, id_col, text_col))
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    salted = cutted.withColumn("part", part)
-    counts = cut(salted.groupBy("length", "part").agg(F.count("*").alias("n")))  # at most capacity * PARTS rows
+    cutted = cut(pieces(docs, tokenizer, capacity, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    whole, less = cutted.where(F.col("length") == capacity), cutted.where(F.col("length") < capacity)
+    part = F.pmod(F.when(F.col("doc_id").isNull(), F.col("row")).otherwise(F.xxhash64("doc_id", "piece", "ids_crc32")), F.lit(PARTS)).cast("int")
+    salted = less.withColumn("part", part)
+    counts = cut(salted.groupBy("length", "part").agg(F.count("*").alias("n")))  # under capacity * PARTS rows, so it may be broadcast
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranges = plan(histogram, capacity)
+    ranges = plan(histogram, capacity)  # their number follows the lengths and groups, not the documents
     to_here = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = counts.select("length", "part", (F.sum("n").over(to_here) - F.col("n")).alias("before"))
     table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, first long, offset long")
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy(F.col("doc_id").asc_nulls_last(), "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("own", own).join(F.broadcast(before), ["length", "part"]).withColumn("rank", F.col("own") + F.col("before"))
+    alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     at = ranked.alias("r").join(F.broadcast(table).alias("t"), (F.col("r.length") == F.col("t.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return at.select("doc_id", "piece", "start", F.col("r.length").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    placed = at.select("doc_id", "piece", "start", F.col("r.length").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    return placed.unionByName(alone)

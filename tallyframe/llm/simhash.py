@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_or_empty
+from .common import bounded, cut, text_or_empty
 from .graph import components
 
 SHINGLE = 3
@@ -60,9 +60,8 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(bounded(_fingerprints), "doc_id long, fp long")
 
 
 @lru_cache(1)
@@ -177,8 +176,9 @@ def links(home: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _compared(batches):
     """Rows sorted by key: each anchor's homes, then its replicas.  Small anchors of a batch are
-    compared together, the others one by one."""
-    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    compared together, the others one by one.  Rows of an anchor that goes on are put together once,
+    when it ends."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush(key, fp):
         out = []
@@ -201,19 +201,24 @@ def _compared(batches):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+    def together():
+        return (np.concatenate(x) for x in zip(*held, strict=True))
+
     for batch in batches:
-        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)])
-        fp = np.concatenate([fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-        if len(key) and (end := int(np.searchsorted(key, key[-1] & ~1))):
+        if not batch.num_rows:
+            continue
+        held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+        if held[0][0][0] >> 1 != held[-1][0][-1] >> 1:
+            key, fp = together()
+            end = int(np.searchsorted(key, key[-1] & ~1))
             yield from flush(key[:end], fp[:end])
-            key, fp = key[end:], fp[end:]
-    if len(key):
-        yield from flush(key, fp)
+            held = [(key[end:], fp[end:])]
+    if held:
+        yield from flush(*together())
 
 
 def _roots(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> (fp, root): each with the one that stands for its component."""
-    small_batches(fps.sparkSession, 50_000)
     spread = fps.select("fp").repartition("fp").mapInArrow(_replicate, "key int, fp long")
     dealt = spread.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     edges = cut(dealt.mapInArrow(_compared, "a long, b long"))
@@ -238,7 +243,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     """The rows of documents that stay when one of each component is kept: that of the smallest id,
     rows without an id last, then of the smallest digest of the text; of rows equal in both, any one."""
     columns = docs.columns
-    small_batches(docs.sparkSession)
     sums = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_or_empty().cast("binary")).alias("digest"), text_or_empty().cast("binary").alias("text"))
 
     def marked(batches):
@@ -246,7 +250,7 @@ def representatives(docs: DataFrame) -> DataFrame:
             found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "digest", "fp"])
 
-    rows = cut(sums.mapInArrow(marked, "doc_id long, digest string, fp long"))
+    rows = cut(sums.mapInArrow(bounded(marked), "doc_id long, digest string, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("one")
     of_fp = cut(rows.groupBy("fp").agg(first))
     kept = _roots(of_fp).groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("k_id"), F.col("one.digest").alias("k_digest"))

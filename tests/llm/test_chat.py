@@ -22,7 +22,7 @@ def test_escape_is_reversible_and_leaves_no_control_string(text):
 def test_spans_read_back(turns, window):
     out, found = chat.spans(chat.chatml, turns)
     assert [chat.read_turn(out[a:b])[:2] for a, b in found] == turns
-    assert "".join(chat.Template().pieces(turns, window)) == out
+    assert "".join(p for _, p in chat.Template().pieces(turns, window)) == out
 
 
 def test_rewriting_templates_are_detected():
@@ -37,7 +37,8 @@ def test_templates_with_a_header_and_context():
 
     turns = [("u", "a"), ("u", "b"), ("a", "c"), ("a", "d"), ("u", "e")]
     whole = list(chat.Template(render=render, context=None).pieces(turns))
-    assert whole == ["[u] a;", "b;", "[a] c;", "d;", "[u] e;"]
+    assert whole == [(False, "BOS ")] + [(True, s) for s in ("[u] a;", "b;", "[a] c;", "d;", "[u] e;")]
+    assert "".join(p for _, p in whole) == render(turns)
     for window in (1, 2, 3, 9):
         assert list(chat.Template(render=render, context=1).pieces(turns, window)) == whole
 
@@ -45,12 +46,12 @@ def test_templates_with_a_header_and_context():
 def test_templates_that_look_back_over_windows_need_no_promise():
     turns = [("u", f"t{i}") for i in range(80)]
     numbered = lambda turns: "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
-    assert list(chat.Template(render=numbered).pieces(turns)) == [f"{i}:t{i};" for i in range(80)]
+    assert list(chat.Template(render=numbered).pieces(turns)) == [(True, f"{i}:t{i};") for i in range(80)]
     first_says_last = lambda turns: "".join(t + ("!" if i == 0 and len(turns) > 50 else "") for i, (_, t) in enumerate(turns))
     with pytest.raises(chat.RewritesHistory):
         list(chat.Template(render=first_says_last).pieces(turns))
     seen = []  # a conversation in chatml is still streamed
-    for span, turn in zip(chat.Template().pieces(seen.append(i) or t for i, t in enumerate(turns)), turns, strict=True):
+    for (_, span), turn in zip(chat.Template().pieces(seen.append(i) or t for i, t in enumerate(turns)), turns, strict=True):
         assert chat.read_turn(span)[1] == turn[1] and len(seen) <= int(turn[1][1:]) + chat.WINDOW
 
 

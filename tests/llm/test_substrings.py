@@ -48,7 +48,8 @@ def test_families_cover_each_string_once_even_in_parts(monkeypatch):
     texts = [prose(np.random.default_rng(6), 9000).encode(), b"z" * 5000, b"short"]
     for size in (1 << 21, 1500):
         monkeypatch.setattr(substrings, "_TOGETHER", size)
-        number, x, y, t, _, _ = substrings.families(texts)
+        found = substrings.families(texts)
+        number, x, y, t = (c[found[2] >= found[1]] for c in found[:4])
         for i, text in enumerate(texts):
             starts = [p for a, b in zip(x[number == i], y[number == i], strict=True) for p in range(a, b + 1)]
             assert sorted(starts) == list(range(max(0, len(text) - K + 1)))
@@ -60,9 +61,46 @@ def test_removal_matches_brute_force(spark):
     rows = [(i, t, b"") for i, t in enumerate(texts)] + [(9, texts[8], b""), (None, texts[8][:900], b"")]
     got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, content binary")).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    got = [r[:-1] for r in got]
     want = [(d, *w) for (d, _, _), w in zip(rows, brute([t for _, t, _ in rows]), strict=True)]
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
 def test_empty_table(spark):
     assert substrings.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_runs_of_a_suffix_array_over_many_partitions(spark):
+    rng = np.random.default_rng(8)
+    keys = [bytes(rng.integers(97, 99, n, np.uint8)) for n in rng.integers(3, 40, 900).tolist()] + [b"a" * n for n in range(20, 60)] + [b"b" * 30] * 3
+    table = spark.createDataFrame([(k,) for k in keys], "key binary")
+    base = 10
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            got = {bytes(r.key): r.runs for r in substrings.suffix_runs(table, base).collect()}
+            for n in range(base, 60):
+                classes, numbers = {}, {}
+                for k in keys:
+                    classes.setdefault(k[:n], []).append(k) if len(k) >= n else None
+                for prefix, members in classes.items():
+                    listed = {got.get(m, [])[n - base] if len(got.get(m, [])) > n - base else None for m in members}
+                    assert len(members) < 2 or len(listed) == 1 and None not in listed
+                    for number in listed - {None}:
+                        assert numbers.setdefault(number, prefix) == prefix
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_shared_passages_are_counted_across_documents_only(spark):
+    rng = np.random.default_rng(9)
+    passage = prose(rng, 300)
+    texts = [prose(rng, 700), prose(rng, 50) + passage + prose(rng, 60), passage + prose(rng, 900), "ab" * 700, prose(rng, 200) + passage[:200], passage.encode()[: substrings.SHARED].decode(errors="ignore"), None]
+    got = {r.doc_id: r.n_shared for r in substrings.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == got[3] == got[6] == 0 and got[1] > 0 and got[2] > 0
+    brute = lambda a, b: any(a[i : i + substrings.CORE] in b for i in range(len(a) - substrings.CORE + 1))
+    raw = [(t or "").encode() for t in texts]
+    assert all(not got[i] or any(brute(raw[i], b) for j, b in enumerate(raw) if i != j) for i in range(len(raw)))
