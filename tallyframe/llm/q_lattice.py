@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .lattice import score
 
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+def pieces() -> str:
+    """The one vocabulary at hand whose pieces have scores."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), PIECES)
+    return score(table(spark, sf_dir, "documents"), pieces())
 
 
 QUERIES = {"op10_lattice_lm": op10_lattice_lm}

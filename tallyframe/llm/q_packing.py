@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+def tokenizer() -> str:
+    """The vocabulary of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
 QUERIES = {"op6_packing": op6_packing}

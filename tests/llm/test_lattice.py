@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 
 from tallyframe.llm import lattice
-from tallyframe.llm.q_lattice import PIECES
+from tallyframe.llm.q_lattice import pieces as _pieces
+
+PIECES = _pieces()
 
 
 @pytest.fixture(scope="module")

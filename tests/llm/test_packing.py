@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyframe.llm import packing
-from tallyframe.llm.q_packing import TOKENIZER
+from tallyframe.llm.q_packing import tokenizer
+
+TOKENIZER = tokenizer()
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
