@@ -42,10 +42,6 @@ def may_be_stale(path: Column, layout: Layout = DEFAULT) -> Column:
     return path.rlike(f"(?i){layout.stale_marker}")
 
 
-def normalized(raw: Column) -> Column:
-    return F.replace(raw, F.lit("\\"), F.lit("/"))
-
-
 def first_part(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 1, F.substring_index(path, "/", 1))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import paths, sizes, versions
-from tallyframe.operators import views
+from tallyframe.operators import files, views
 from tallyframe.plans import manifests as plans
 
 
@@ -142,12 +142,12 @@ def already_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal versions and equal digests; null on either side is no."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a, b = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 4), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2)
-    return d.select("doc_id", F.coalesce(a == b, F.lit(False)).alias("applied"))
+    return d.select("doc_id", plans.already_applied(a, b, F.md5("text"), F.md5("text")).alias("applied"))
 
 
 QUERIES = {f.__name__: f for f in (
     plan_changes, plan_changes_except, stale_plan, stale_total, combine_first_wins, package_fk, verify_status, verify_sizes, verify_summary, first_failure, first_hash_failure, failure_lines,
-    total_size, managed_roots, dup_keys, point_lookup, path_rules, protected_paths, split_version, version_order, format_bytes, progress, md5_parse, already_applied)}
+    total_size, managed_roots, dup_keys, point_lookup, path_rules, protected_paths, split_version, version_order, format_bytes, progress, md5_parse, already_applied)} | files.QUERIES
 
 _STATUS = "CASE WHEN d.path IS NULL THEN 'missing' WHEN d.kind <> 'file' THEN 'not_file' WHEN d.size <> m.size THEN 'size_mismatch' {hash} ELSE 'ok' END"
 _SIZES, _HASHES = _STATUS.format(hash=""), _STATUS.format(hash="WHEN d.md5 <> m.md5 THEN 'hash_mismatch'")
@@ -174,7 +174,7 @@ FROM (SELECT m.path, m.size, d.size found, {_HASHES} status FROM m_new m LEFT JO
     "point_lookup": "SELECT path, size, md5 FROM m_new WHERE path = 'Game_Data/StreamingAssets/en/1'",
 }
 _UNIT = lambda i: f"printf('%d.%02d %s', ((n * 100) // {1024**i}) // 100, ((n * 100) // {1024**i}) % 100, '{('KiB', 'MiB', 'GiB', 'TiB')[i - 1]}')"
-ORACLE_SQL = {name: views.SQL + sql for name, sql in _OVER_VIEWS.items()} | {
+ORACLE_SQL = files.ORACLE_SQL | {name: views.SQL + sql for name, sql in _OVER_VIEWS.items()} | {
     "path_rules": """SELECT p, CASE WHEN strlen(p) = 0 OR left(p, 1) = '/' OR left(p, 1) = chr(92) OR (substr(p, 2, 1) = ':' AND strlen(left(p, 1)) = 1) OR contains(p, chr(92)) THEN 'UnsafePath'
   WHEN strlen(p) > 65535 THEN 'PathTooLongForZip' WHEN contains('/' || p || '/', '//') OR contains('/' || p || '/', '/./') OR contains('/' || p || '/', '/../') THEN 'UnsafePath' ELSE 'ok' END verdict
 FROM (SELECT CASE doc_id % 11 WHEN 0 THEN '' WHEN 1 THEN '/' || id WHEN 2 THEN chr(92) || id WHEN 3 THEN 'C:/' || id WHEN 4 THEN 'é:' || id WHEN 5 THEN 'a' || chr(92) || id WHEN 6 THEN 'a//' || id

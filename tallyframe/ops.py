@@ -6,6 +6,7 @@ decides about deletion is fixed before anything is extracted.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 from dataclasses import dataclass, field
@@ -18,7 +19,9 @@ from tallyframe.config import DEFAULT, Layout
 from tallyframe.functions.sizes import bytes_text
 from tallyframe.functions.versions import compare_text, split_text, version_in_file
 from tallyframe.plans import manifests as plans
+from tallyframe.progress import Progress, followed
 from tallyframe.schema import ManifestError
+from tallyframe.shared import shared_folder
 from tallyframe.sinks.files import delete_files, extract_archive, write_archive
 from tallyframe.sources import archive as zips
 from tallyframe.sources import manifest as sources
@@ -85,10 +88,13 @@ class Engine:
         return plans.stale(tree(self.spark, game), manifest, self.layout)
 
     def verified(self, game: str, manifest: DataFrame, hashes: bool) -> DataFrame:
-        """Sizes first; contents are only read where the size agrees."""
+        """Sizes first; contents are only read where the size agrees, and digests are fixed once read."""
         disk = disk_state(tree(self.spark, game))
         if hashes:
-            disk = disk.join(hashed(plans.sizes_agree(manifest, disk), game), "path", "left")
+            to_read = plans.sizes_agree(manifest, disk)
+            total = plans.total_size(manifest.join(to_read.select("path"), "path", "left_semi")).first()
+            with followed(self.spark.sparkContext, Progress(self.out, "Verify", int(total.total), total.n, True)) as done, _fixed(hashed(to_read, game, 0, *done)) as sums:
+                disk = disk.join(sums, "path", "left")
         return plans.verify(manifest, disk, hashes)
 
     # Operations
@@ -96,13 +102,19 @@ class Engine:
     def clean(self, game: str, verify_md5: bool = False) -> int:
         """Returns the number of files removed.  Problems found afterwards are told, not raised."""
         manifest = sources.load_all(self.spark, game, self.layout).persist()
+        try:
+            return self._clean(game, manifest, verify_md5)
+        finally:
+            manifest.unpersist()
+
+    def _clean(self, game: str, manifest: DataFrame, verify_md5: bool) -> int:
         n = 0
         with _fixed(self.stale_plan(game, manifest)) as plan:
             total = plans.total_size(plan).first()
             if n := total.n:
                 self._say(f"Clean {self.detect_version(game) or 'game'}:\n    Game: {game}\n\nStale files to remove: {n} ({bytes_text(int(total.total))})")
                 self._confirm()
-                delete_files(plan, game)
+                self._delete(plan, game, total)
             else:
                 self._say("No files to remove.")
         for hashes in (False, True) if verify_md5 else (False,):
@@ -130,7 +142,7 @@ class Engine:
         total = plans.total_size(packed).first()
         self._say(f"Create update {old.version} to {new.version}:\n    Old: {old.path}\n    New: {new.path}\n    Output: {out_path}\n\nFiles to package: {total.n} ({bytes_text(int(total.total))})")
         self._confirm()
-        write_archive(packed, new.path, out_path)
+        write_archive(packed, new.path, out_path, Progress(self.out, "Package", int(total.total), total.n, True))
         self._say("\nComplete!")
         return out_path
 
@@ -143,12 +155,18 @@ class Engine:
         new = sources.from_bytes(self.spark, data, self.layout)
         audio = sources.load_audio(self.spark, game, self.layout)
         clean_manifest = (new if audio is None else plans.combine(new, audio)).persist()
+        try:
+            return self._apply(zip_path, game, verify_md5, data, new, clean_manifest)
+        finally:
+            clean_manifest.unpersist()
+
+    def _apply(self, zip_path: str, game: str, verify_md5: bool, data: bytes, new: DataFrame, clean_manifest: DataFrame) -> bool:
         members = zips.archive(self.spark, zip_path)
         wrong = plans.package_status(members.withColumn("size", F.col("uncompressed_size")), new, self.layout).where("status <> 'ok'").orderBy("ordinal").head(1)
         if wrong:
             raise ManifestError(wrong[0].status, wrong[0].path)
         version, current = zips.package_version(zip_path, self.layout), self.detect_version(game)
-        if plans.already_applied(current, version, sources.manifest_bytes(game, self.layout), data):
+        if version is not None and self._applied(current, version, sources.manifest_bytes(game, self.layout), data):
             self._say("Already up to date.")
             return False
         with _fixed(self.stale_plan(game, clean_manifest)) as plan:
@@ -156,8 +174,10 @@ class Engine:
             self._say(f"Update {current or 'unknown'} to {version or 'unknown'}:\n    Update: {zip_path}\n    Game: {game}\n\n"
                       f"New files to update: {payload.n} ({bytes_text(int(payload.total))})\nStale files to remove: {extra.n} ({bytes_text(int(extra.total))})")
             self._confirm()
-            extract_archive(members.repartition(self.spark.sparkContext.defaultParallelism), zip_path, game)
-            delete_files(plan, game)
+            with followed(self.spark.sparkContext, Progress(self.out, "Extract", int(payload.total), payload.n, True)) as done:
+                extract_archive(members.repartition(self.spark.sparkContext.defaultParallelism), zip_path, game, *done)
+            if extra.n:
+                self._delete(plan, game, extra)
         for hashes in (False, True) if verify_md5 else (False,):
             bad = plans.first_failure(self.verified(game, clean_manifest, hashes)).head(1)
             if bad:
@@ -166,6 +186,14 @@ class Engine:
         self._say("\nComplete!")
         return True
 
+    def _applied(self, current: str | None, version: str, here: bytes | None, new: bytes) -> bool:
+        digest = lambda x: F.lit(None if x is None else hashlib.sha256(x).hexdigest())
+        return self.spark.range(1).select(plans.already_applied(F.lit(current), F.lit(version), digest(here), digest(new))).first()[0]
+
+    def _delete(self, plan: DataFrame, game: str, total) -> None:
+        with followed(self.spark.sparkContext, Progress(self.out, "Remove", int(total.total), total.n)) as done:
+            delete_files(plan, game, *done)
+
     # Saying and asking
 
     def _say(self, text: str) -> None:
@@ -199,14 +227,11 @@ class _fixed:
         self.plan = plan
 
     def __enter__(self) -> DataFrame:
-        context = self.plan.sparkSession.sparkContext
-        if not context.getCheckpointDir():
-            import tempfile
-
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
+        spark = self.plan.sparkSession
+        folder = shared_folder(spark)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
         return self.plan.checkpoint()
 
     def __exit__(self, *_: object) -> None:
         return None
-
-

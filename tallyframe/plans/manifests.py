@@ -102,9 +102,9 @@ def lookup(rows: DataFrame, path: str) -> DataFrame:
     return rows.where(F.col("path") == path)
 
 
-def already_applied(current_version: str | None, new_version: str | None, current: bytes | None, new: bytes | None) -> bool:
-    """Both known and both equal."""
-    return None not in (current_version, new_version, current, new) and current_version == new_version and current == new
+def already_applied(current_version: Column, new_version: Column, current: Column, new: Column) -> Column:
+    """Versions and manifests (or their digests) both known and both equal."""
+    return F.coalesce((current_version == new_version) & (current == new), F.lit(False))
 
 
 def archive_sources(new_manifest: bytes, changed: DataFrame, layout: Layout = DEFAULT) -> DataFrame:

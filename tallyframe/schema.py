@@ -8,7 +8,6 @@ SIZE = T.DecimalType(20, 0)
 ENTRY = T.StructType([T.StructField("line_no", T.LongType(), False), T.StructField("path", T.StringType(), False), T.StructField("size", SIZE, False), T.StructField("md5", T.BinaryType(), False)])
 TREE = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("raw_path", T.StringType(), False), T.StructField("kind", T.StringType(), False), T.StructField("target_kind", T.StringType(), False), T.StructField("size", T.LongType(), False)])
 MEMBER = T.StructType([T.StructField(n, t, False) for n, t in (("ordinal", T.LongType()), ("path", T.StringType()), ("method", T.IntegerType()), ("crc32", T.LongType()), ("compressed_size", T.LongType()), ("uncompressed_size", T.LongType()), ("header_offset", T.LongType()))])
-FAILURE = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("reason", T.StringType(), False), T.StructField("expected_size", SIZE, False), T.StructField("actual_size", SIZE, True)])
 
 
 class ManifestError(ValueError):

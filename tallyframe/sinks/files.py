@@ -10,10 +10,12 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 
 from tallyframe.config import DEFAULT
 from tallyframe.functions.paths import check_path
+from tallyframe.progress import Progress
 from tallyframe.schema import ManifestError
 from tallyframe.sources.archive import content
 
@@ -27,7 +29,7 @@ def _blocks(row, root: str) -> Iterator[bytes]:
             yield part
 
 
-def write_archive(sources: DataFrame, root: str, out: str) -> list[tuple[str, int, int]]:
+def write_archive(sources: DataFrame, root: str, out: str, progress: Progress | None = None) -> list[tuple[str, int, int]]:
     """Stores the sources in their order, uncompressed, and returns (path, size, crc32) of each.
 
     Offsets add up, so there is one writer; rows are fetched as they are needed.  The archive appears
@@ -37,6 +39,9 @@ def write_archive(sources: DataFrame, root: str, out: str) -> list[tuple[str, in
         if os.path.lexists(path):
             raise ManifestError("PathAlreadyExists", path)
     written: list[tuple[str, int, int]] = []
+    total = 0
+    if progress:
+        progress.start()
     with open(tmp, "xb") as f:
         try:
             with zipfile.ZipFile(f, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
@@ -54,20 +59,27 @@ def write_archive(sources: DataFrame, root: str, out: str) -> list[tuple[str, in
                             member.write(part)
                             size, crc = size + len(part), zlib.crc32(part, crc)
                             md5.update(part)
+                            total += len(part)
+                            if progress:
+                                progress.reach(total, len(written))
                     if size != row.size:
                         raise ManifestError("SizeMismatch", row.path)
                     if row.md5 is not None and md5.digest() != bytes(row.md5):
                         raise ManifestError("HashMismatch", row.path)
                     written.append((row.path, size, crc))
+                    if progress:
+                        progress.reach(total, len(written))
             os.link(tmp, out)  # fails if the name is taken meanwhile
         finally:
             os.unlink(tmp)
+    if progress:
+        progress.finish()
     return written
 
 
-def extract_archive(members: DataFrame, archive: str, root: str) -> None:
+def extract_archive(members: DataFrame, archive: str, root: str, moved: Accumulator | None = None, done: Accumulator | None = None) -> None:
     """Writes each member under root, in parallel, replacing what is there.  There is no way back: a
-    failure leaves what was written so far."""
+    failure leaves what was written so far.  What is written adds to the accumulators."""
 
     def run(rows):
         with open(archive, "rb") as f:
@@ -77,16 +89,24 @@ def extract_archive(members: DataFrame, archive: str, root: str) -> None:
                 with open(target, "wb") as out:
                     for part in content(f, tuple(row)):
                         out.write(part)
+                        if moved is not None:
+                            moved.add(len(part))
+                if done is not None:
+                    done.add(1)
 
     members.foreachPartition(run)
 
 
-def delete_files(plan: DataFrame, root: str) -> None:
-    """Deletes the plan's files by their raw paths; folders stay."""
+def delete_files(plan: DataFrame, root: str, moved: Accumulator | None = None, done: Accumulator | None = None) -> None:
+    """Deletes the plan's files by their raw paths; folders stay.  What is deleted adds to the accumulators."""
 
     def run(rows):
         for row in rows:
             check_path(row.path)
             os.unlink(os.path.join(root, row.raw_path))
+            if moved is not None:
+                moved.add(row.size)
+            if done is not None:
+                done.add(1)
 
     plan.foreachPartition(run)

@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -79,6 +80,26 @@ def parse(data: bytes, layout: Layout = DEFAULT) -> Iterator[tuple[int, str, int
         raise ManifestError("EmptyManifest")
 
 
+def verdict(data: bytes) -> str:
+    """ok, or the kind of the first error."""
+    try:
+        for _ in parse(data):
+            pass
+    except ManifestError as e:
+        return e.kind
+    return "ok"
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, data), manifests in memory -> (doc_id, verdict)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([verdict(d) for d in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "verdict"])
+
+    return rows.mapInArrow(run, "doc_id long, verdict string")
+
+
 def read_bytes(path: str, limit: int) -> bytes:
     """A regular file's content, refused over the limit."""
     if not os.path.exists(path):

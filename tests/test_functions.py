@@ -66,3 +66,11 @@ def test_md5_texts(spark):
     rows = [("5d41402abc4b2a76b9719d911017c592", True), ("5D41402ABC4B2A76B9719D911017C592", True), ("5d41402abc4b2a76b9719d911017c59", False), ("5d41402abc4b2a76b9719d911017c5921", False), ("z" * 32, False)]
     got = {r.t: r.ok for r in spark.createDataFrame([(t,) for t, _ in rows], "t string").select("t", sizes.parse_md5(F.col("t")).isNotNull().alias("ok")).collect()}
     assert got == dict(rows)
+
+
+def test_comparison_stops_at_the_first_difference(spark):
+    pairs = [("1.4", "2.x", -1), ("2.x", "1", 1), ("1.x", "1.4", None), (".1", "1", 0), ("", "0.0", 0), ("", "1", -1), ("1.", "1", None), ("3", "1..2", 1), ("18446744073709551616", "1", None)]
+    rows = spark.createDataFrame(pairs, "a string, b string, c int")
+    got = rows.select("a", "b", versions.compare_versions(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [tuple(r) for r in got] == pairs
+    assert all(versions.compare_text(a, b) == c for a, b, c in pairs)
