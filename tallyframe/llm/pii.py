@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -46,33 +47,43 @@ _CUES = {
 _BEFORE = 24
 #: Lengths of an added span up to which it falls in buckets 0, 1, 2; longer ones in 3.
 _LENGTHS = (16, 32, 64)
-_BLOCK = 256
+_BLOCK, _CHUNK = 256, 4096
 
 
-def _sums_before(n: Column) -> Column:
-    """Running sums of an int array before each element, in blocks, so that no long array is copied
-    for each element."""
+def _before(n: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an int array, all elements before it put together by plus, from 0 on; in
+    blocks, so that no long array is copied for each element."""
     zero = F.lit(0)
 
     def running(x: Column) -> Column:
         start = F.struct(zero.alias("sum"), F.array().cast("array<int>").alias("all"))
-        return F.aggregate(x, start, lambda a, v: F.struct((a["sum"] + v).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))["all"]
+        return F.aggregate(x, start, lambda a, v: F.struct(plus(a["sum"], v).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))["all"]
 
     def spread(blocks: Column) -> Column:
-        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a + v))
-        return let(running(sums), lambda s: F.flatten(F.transform(blocks, lambda b, i: let(F.get(s, i), lambda o: F.transform(running(b), lambda v: v + o)))))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, plus))
+        return let(running(sums), lambda s: F.flatten(F.transform(blocks, lambda b, i: let(F.get(s, i), lambda o: F.transform(running(b), lambda v: plus(v, o))))))
 
     blocks = F.transform(F.sequence(zero, F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda i: F.slice(n, i * _BLOCK + 1, _BLOCK))
     return F.when(F.size(n) == 0, n).otherwise(let(blocks, spread))
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<s, v>>: the matches of a pattern that is never empty, with code point offsets."""
+    """array<struct<s, v, before, after>>: the matches of a pattern that is never empty, with code point
+    offsets.  before is what lies between the match before and this one, with that match's last
+    character, at most _BEFORE; after is the next character.  All are taken from the parts that the
+    matches divide the text into, so no part is walked more than once."""
+    nothing = F.lit("")
 
     def located(values: Column) -> Column:
         def at(gaps: Column) -> Column:
+            def match(v: Column, i: Column, b: Column) -> Column:
+                last = F.coalesce(F.right(F.get(values, i - 1), F.lit(1)), nothing)
+                after = F.get(gaps, i + 1)
+                return F.struct((F.get(b, i) + F.length(F.get(gaps, i))).alias("s"), v.alias("v"), F.right(F.concat(last, F.get(gaps, i)), F.lit(_BEFORE)).alias("before"),
+                                F.when(after != "", F.substring(after, 1, 1)).otherwise(F.coalesce(F.substring(F.get(values, i + 1), 1, 1), nothing)).alias("after"))
+
             both = F.transform(values, lambda v, i: F.length(F.get(gaps, i)) + F.length(v))
-            return let(_sums_before(both), lambda b: F.transform(values, lambda v, i: F.struct((F.get(b, i) + F.length(F.get(gaps, i))).alias("s"), v.alias("v"))))
+            return let(_before(both, lambda a, v: a + v), lambda b: F.transform(values, lambda v, i: match(v, i, b)))
 
         return let(F.split(text, pattern, -1), at)
 
@@ -117,8 +128,7 @@ def candidates(text: Column) -> Column:
         v, s = x["v"], x["s"]
         e = s + F.length(v)
         yes = lambda c: F.when(c, F.lit("+")).otherwise(F.lit("-"))
-        before = F.substr(text, F.greatest(s - _BEFORE, F.lit(0)) + 1, F.least(s, F.lit(_BEFORE)))
-        after = F.substr(text, e + 1, F.lit(1))
+        before, after = x["before"], x["after"]
         length = F.lit("0")
         for i, most in enumerate(_LENGTHS):
             length = F.when(F.length(v) > most, F.lit(str(i + 1))).otherwise(length)
@@ -212,23 +222,42 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.select("doc_id", _kept(F.col("c"), accepted(rows)).alias("found"))
 
 
-def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each found span replaced by its kind in angle brackets; null texts stay null.  Of
-    overlapping spans the first stands for the union."""
+def _slices(text: Column, bounds: Column) -> Column:
+    """array<string>: the parts (a, b) of the text, by code points.  The text is cut into chunks once, so
+    that a part is reached without walking to it."""
+
+    def part(chunks: Column, x: Column) -> Column:
+        first, last = F.floor(x["a"] / _CHUNK).cast("int"), F.floor((x["b"] - 1) / _CHUNK).cast("int")
+        head = F.get(chunks, first)
+        across = F.concat(F.substr(head, x["a"] - first * _CHUNK + 1), F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substr(F.get(chunks, last), F.lit(1), x["b"] - last * _CHUNK))
+        return F.when(x["b"] <= x["a"], "").when(first == last, F.substr(head, x["a"] - first * _CHUNK + 1, x["b"] - x["a"])).otherwise(across)
 
-    def replaced(text: Column, found: Column) -> Column:
-        def joined(x: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)), lambda chunks: F.transform(bounds, lambda x: part(chunks, x)))
 
-            def step(a: Column, s: Column) -> Column:
-                more = F.when(s["s"] >= a["at"], F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, s["s"] - a["at"]), F.concat(F.lit("<"), F.array(*map(F.lit, KINDS))[s["k"]], F.lit(">"))))).otherwise(a["out"])
-                return F.struct(F.greatest(a["at"], s["e"]).alias("at"), more.alias("out"))
 
-            return let(F.aggregate(x, start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))))
+def _replaced(text: Column, found: Column) -> Column:
+    """The text with found spans replaced by their kinds; of overlapping spans the first stands for all."""
 
-        return F.when(F.size(found) == 0, text).otherwise(joined(found))
+    def cuts(ends: Column) -> Column:
+        each = F.transform(found, lambda x, i: F.struct(F.get(ends, i).alias("a"), x["s"].alias("b"), x["k"].alias("k")))
+        tail = F.struct(F.array_max(F.transform(found, lambda x: x["e"])).alias("a"), F.length(text).alias("b"), F.lit(None).cast("int").alias("k"))
+        return F.concat(F.filter(each, lambda c: c["b"] >= c["a"]), F.array(tail))
 
-    text = F.col(text_col)
-    keys = accepted(docs.select(let(F.coalesce(text, F.lit("")), candidates).alias("c")))
-    new = let(F.coalesce(text, F.lit("")), lambda t: let(_kept(candidates(t), keys), lambda found: replaced(t, found)))
-    return docs.withColumn(text_col, F.when(text.isNotNull(), new))
+    names = F.array(*map(F.lit, KINDS))
+    joined = lambda c: let(_slices(text, c), lambda parts: F.array_join(F.zip_with(parts, c, lambda p, x: F.concat(p, F.coalesce(F.concat(F.lit("<"), F.get(names, x["k"]), F.lit(">")), F.lit("")))), ""))
+    ends = _before(F.transform(found, lambda x: x["e"]), lambda a, v: F.greatest(a, v))
+    return F.when(F.size(found) == 0, text).otherwise(let(ends, lambda e: let(cuts(e), joined)))
+
+
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with each found span replaced by its kind in angle brackets, in the columns that docs has.
+
+    Null texts stay null.  Of overlapping spans the first stands for the union.  Repeated rows change
+    alike, and an empty table stays empty.  Candidates are found once: a copy of the rows is written with
+    them, from which the classifier is trained and the texts are changed."""
+    found = let(text_or_empty(text_col), candidates)
+    rows = cut(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), found.alias("c")))
+    row, keys = F.col("row"), accepted(rows)
+    new = let(F.coalesce(row.getField(text_col), F.lit("")), lambda t: let(_kept(F.col("c"), keys), lambda found: _replaced(t, found)))
+    changed = F.when(row.getField(text_col).isNotNull(), new)
+    return rows.select(*[(changed if c == text_col else row.getField(c)).alias(c) for c in docs.columns])

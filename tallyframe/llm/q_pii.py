@@ -19,7 +19,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda x: x["base"])
     of = lambda k: lambda x: x["base"] & (x["k"] == k)
     counts = [F.size(F.filter("found", of(k))).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
-    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op1_pii": op1_pii}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .quality import BLANKS, CLASSES, COMMON, LOUD, MAX_CHAR_DISTANCE, MAX_ODD, MAX_REPEATED, MAX_UPPER, MAX_WORD_DISTANCE, MIN_CHARS_COMPARED, MIN_WORDS, MIN_WORDS_COMPARED, SYMBOLS, UPPER, assess
+from .quality import BLANKS, CLASSES, CODE, COMMON, LOUD, MAX_CHAR_DISTANCE, MAX_ODD, MAX_REPEATED, MAX_UPPER, MAX_WORD_DISTANCE, MIN_CHARS_COMPARED, MIN_REFERENCE, MIN_WORDS, MIN_WORDS_COMPARED, OTHER, SYMBOLS, UPPER, assess
 
 
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,11 @@ def _sql() -> str:
     most = max(len(x.split()) for x in COMMON.values()) + 1
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({", ".join(map(repr, COMMON))}) THEN lang ELSE 'other' END AS lg FROM documents
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN regexp_matches(lang, '{CODE}') THEN lang ELSE '{OTHER}' END AS lg FROM documents
 ), w AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls,
+  SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls,
          [{classes}] AS cs, CASE lg {listed} ELSE []::VARCHAR[] END AS ms FROM d
 ), g AS (
   SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) x
@@ -44,7 +46,7 @@ WITH d AS (
   SELECT * REPLACE (list_append(ks, n_words - coalesce(list_sum(ks), 0)) AS ks) FROM m
 ), refs AS (
   SELECT lg AS ref_lg, {total("cs", len(CLASSES) + 1)} AS rc, ({total("ks", most)})[1:max(len(ks))] AS rk
-  FROM h WHERE NOT base_failed AND cs[{SYMBOLS + 1}] + cs[{LOUD + 1}] <= {MAX_ODD} * list_sum(cs) AND cs[{UPPER + 1}] <= {MAX_UPPER} * (cs[1] + cs[{UPPER + 1}]) GROUP BY lg
+  FROM h WHERE NOT base_failed AND cs[{SYMBOLS + 1}] + cs[{LOUD + 1}] <= {MAX_ODD} * list_sum(cs) AND cs[{UPPER + 1}] <= {MAX_UPPER} * (cs[1] + cs[{UPPER + 1}]) AND lg <> '{OTHER}' GROUP BY lg HAVING sum(list_sum(cs)) >= {MIN_REFERENCE}
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(chars >= {MIN_CHARS_COMPARED} AND {js("cs", "rc")} > {MAX_CHAR_DISTANCE}, false)

@@ -32,6 +32,8 @@ MIN_WORDS, MAX_REPEATED = 50, 0.5
 #: Greatest distances that are kept, and least lengths for a comparison.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.15, 0.28
 MIN_CHARS_COMPARED, MIN_WORDS_COMPARED = 200, 100
+#: Language codes, what stands for all else, and the least characters of a reference.
+CODE, OTHER, MIN_REFERENCE = "^[a-z]{2,3}$", "other", 10_000
 #: Up to so many repeated windows are looked up by a scan; more are all sorted.
 _FEW = 64
 
@@ -116,8 +118,8 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with one more column, m: the base counts and both histograms.  It is the one element of
-    an exploded array, for a filter on it would else be pushed below and compute it anew for each use."""
+    """docs with one more column, m: the base counts and both histograms.  To be written before it is
+    filtered by, for a filter would compute it anew for each use."""
 
     def of(text: Column, lang: Column) -> Column:
         return let(text, lambda t: let(words(t), lambda w: let(class_counts(t), lambda c: let(repeated_words(w), lambda r: F.struct(
@@ -125,23 +127,24 @@ def measured(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             c[SYMBOLS].alias("n_symbols"), duplicate_lines(t).alias("n_dup_lines"), r.alias("n_repeat_words"),
             ((F.size(w) < MIN_WORDS) | (r > MAX_REPEATED * F.size(w))).alias("base_failed"), c.alias("chars"), common_counts(w, lang).alias("common"))))))
 
-    lang = F.when(F.col(lang_col).isin(*COMMON), F.col(lang_col)).otherwise(F.lit("other"))
-    return docs.select("*", F.explode(F.array(of(text_or_empty(text_col), lang))).alias("m"))
+    lang = F.when(F.col(lang_col).rlike(CODE), F.col(lang_col)).otherwise(F.lit(OTHER))
+    return docs.withColumn("m", of(text_or_empty(text_col), lang))
 
 
 def references(rows: DataFrame) -> DataFrame:
-    """m.* -> one row for each of COMMON's languages and one for all others: at most five rows."""
+    """m.* -> one row for each language code that has enough text: at most 26^2 + 26^3 rows."""
     n = lambda *at: sum((F.get("m.chars", F.lit(i)) for i in at), F.lit(0))
     plain = (n(SYMBOLS, LOUD) <= MAX_ODD * n(*range(len(CLASSES) + 1))) & (n(UPPER) <= MAX_UPPER * n(0, UPPER))
     n_common = max(len(x.split()) for x in COMMON.values()) + 1
     total = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(F.col(c), F.lit(i))), F.lit(0)).cast("long") for i in range(n)])
-    return (rows.where(~F.col("m.base_failed") & plain).groupBy(F.col("m.lang").alias("ref_lang"))
-            .agg(total("m.chars", len(CLASSES) + 1).alias("ref_chars"), F.slice(total("m.common", n_common), F.lit(1), F.max(F.size("m.common"))).alias("ref_common")))
+    return (rows.where(~F.col("m.base_failed") & plain & (F.col("m.lang") != OTHER)).groupBy(F.col("m.lang").alias("ref_lang"))
+            .agg(total("m.chars", len(CLASSES) + 1).alias("ref_chars"), F.slice(total("m.common", n_common), F.lit(1), F.max(F.size("m.common"))).alias("ref_common"))
+            .where(F.aggregate("ref_chars", F.lit(0).cast("long"), lambda a, x: a + x) >= MIN_REFERENCE))
 
 
 def judged(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """rows with m -> the same with char_distance, word_distance (null if not compared) and kept.
-    refs has at most five rows, so it is broadcast."""
+    refs is bounded by the number of language codes, 18,252 small rows, so it is broadcast."""
     n_chars = F.aggregate("m.chars", F.lit(0).cast("long"), lambda a, x: a + x)
     out = rows.join(F.broadcast(refs), F.col("m.lang") == F.col("ref_lang"), "left")
     out = out.withColumns({
@@ -156,8 +159,9 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     char_distance, word_distance, kept), one row for each input row.
 
-    Null texts have no words and fail; null and unlisted languages share one reference, of character
-    classes only.  Repeated rows get equal results.  An empty table gives an empty result.  Columns
+    Null texts have no words and fail.  Languages other than those of COMMON are compared by character
+    classes only, each with itself; documents without a code of two or three letters, or of a language
+    with under 10,000 characters of plain text, are judged by the base rules alone.  Repeated rows get equal results.  An empty table gives an empty result.  Columns
     other than the three named are ignored."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = cut(measured(rows).select("doc_id", "m"))
@@ -166,8 +170,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of documents that assess() keeps, with their columns as they are.  The texts are
-    measured twice, once for the references, instead of writing a copy of the corpus."""
-    refs = cut(references(measured(docs.select("text", "lang")).select("m")))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "text", "lang")
-    return judged(measured(rows), refs).where("kept").select("row.*")
+    """The rows of documents that assess() keeps, with their columns as they are, whatever their names.
+
+    Null texts go, as they fail; null languages are judged by the base rules alone.  Equal rows are kept
+    or go together; an empty table stays empty.  A copy of the rows is written with their measures, so
+    that texts are measured once."""
+    rows = cut(measured(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), "row.text", "row.lang"))
+    return judged(rows, references(rows)).where("kept").select("row.*")

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from tallyframe.llm import pii
 from tallyframe.llm.q_pii import _listed
@@ -78,3 +80,40 @@ def test_redaction(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).collect() == [] and pii.redacted(docs).collect() == []
+
+
+def _brute_replaced(text, spans):
+    out, at = [], 0
+    for s, k, e in sorted(spans):
+        if s >= at:
+            out += [text[at:s], f"<{pii.KINDS[k]}>"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_replacing_spans_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in (0, 1, 5, 40, 700, 9000, 30_000):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(n))
+        for m in (0, 1, 3, 600):
+            spans = []
+            for _ in range(m if n else 0):
+                s = rng.randrange(n)
+                spans.append((s, rng.randrange(5), min(n, s + rng.choice((1, 2, 9, 60, 5000)))))
+            rows.append((text, sorted(spans)))
+    frame = spark.createDataFrame([(t, [(s, k, e, True) for s, k, e in x]) for t, x in rows], "t string, f array<struct<s:int,k:int,e:int,base:boolean>>")
+    got = [r.r for r in frame.select(pii._replaced(F.col("t"), F.col("f")).alias("r")).collect()]
+    assert got == [_brute_replaced(t, x) for t, x in rows]
+
+
+def test_a_long_text_with_many_spans_takes_seconds(spark):
+    text = "".join(f"Write to user{i}@mail{i % 97}.example.org or call +49 30 {1_000_000 + i} " + "lorem ipsum " * 4 for i in range(25_000))
+    docs = spark.createDataFrame([(1, text, "a"), (None, None, "b"), (2, "", "c")], "doc_id long, text string, c string")
+    began = time.monotonic()
+    rows = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert rows[1].text.count("<email>") == rows[1].text.count("<phone>") == 25_000 and "@" not in rows[1].text
+    assert rows[None].text is None and rows[2].text == "" and [rows[i].c for i in (1, None, 2)] == ["a", "b", "c"]
+    found = pii.find(docs).where("doc_id = 1").first().found
+    assert len(found) == 50_000 and all(text[x.s : x.e].startswith("user" if x.k == 0 else "+49") for x in found)
