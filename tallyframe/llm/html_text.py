@@ -5,7 +5,8 @@ and passes them up: all to its parent, half to the grandparent, and a falling sh
 element with the most points, its own link density discounted, is the article; siblings with a good
 part of its score, and plain paragraphs beside it, belong to it as well.  Parts that are never article
 text by tag or role - menus, forms, adverts and the like - are left out of both, and so are those that
-a class or id calls so, unless what they hold shows the name to be wrong (see `_wrong_parts`).
+a class or id calls so, unless what they hold shows the name to be wrong (see `_wrong_parts`).  An article's
+own header stays, and inside an article or main element only a box goes whose name says nothing else.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from .common import bounded
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
-_SKIP = frozenset("head script style noscript template iframe object svg canvas audio video nav header footer aside form button select textarea dialog menu title noembed noframes fieldset".split())
+_SKIP = frozenset("head script style noscript template iframe object svg canvas audio video nav header footer aside form button select textarea dialog menu title noembed noframes".split())
+#: Of these, those that may stand inside a paragraph and don't end it.
+_QUIET = frozenset("script style noscript template iframe object svg canvas audio video button select textarea".split())
 _SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "p": ()}
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 # Words of class and id names.
@@ -32,6 +35,10 @@ _NOT_TEXT = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promotion promotions related recommended reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
 _TEXT = frozenset("article body content entry main post story text".split())
+#: Words that may stand beside them in the name of a box.
+_BOX = frozenset("area block blocks body bottom box button buttons container content inner item items left link links list outer panel post posts right row section sections text top wrap wrapper".split())
+#: In an article or main element, text of these tags doesn't go for its names.
+_SPOKEN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote q td th caption figcaption".split())
 #: Of the former, those that may well hold most of a page's text and yet not be the article.
 _OTHERS = frozenset("comment comments disqus recommended related replies reply respond".split())
 #: Names that begin or end so tell of a state (has-sidebar, comments-off) or a kind of text (long-form).
@@ -59,6 +66,7 @@ class _Page:
         self.parent, self.tag, self.skip, self.weight = [-1], ["#"], [False], [0.0]
         self.named: dict[int, tuple[set[str], bool]] = {}  # element: words of _NOT_TEXT, has it a name of _TEXT alone
         self.articles: set[int] = set()  # by tag or role
+        self.inside = [False]  # is the element in one of those
         self.blocks: list[tuple[int, str, int, bool]] = []  # element, text, characters in links, is a p
         self.stack, self.links = [0], 0
         self.text: list[str] = []
@@ -82,7 +90,7 @@ class _Page:
             self.text, self.linked = [], []
 
     def open(self, tag: str, attrs: str) -> None:
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in _QUIET:
             self.flush()
             self.close_implied(tag)
         elif tag == "br":
@@ -90,7 +98,9 @@ class _Page:
         if tag in _VOID:
             return
         e = len(self.tag)
-        skip, weight, article = self.skip[self.stack[-1]] or tag in _SKIP or e in self.drop, 25.0 if tag in ("article", "main") else 0.0, tag in ("article", "main")
+        inside = self.inside[self.stack[-1]]
+        own_header = tag == "header" and inside
+        skip, weight, article = self.skip[self.stack[-1]] or tag in _SKIP and not own_header or e in self.drop, 25.0 if tag in ("article", "main") else 0.0, tag in ("article", "main")
         wrong, right = set(), False
         for m in _ATTR.finditer(attrs) if attrs and not skip else ():
             value = (m[2] or m[3] or m[4] or "").lower()
@@ -103,14 +113,18 @@ class _Page:
                 words = _WORDS.findall(name)
                 weight += 25 * sum(w in _TEXT for w in words)
                 right |= bool(words) and _TEXT.issuperset(words)
-                if words and words[0] not in _STATE_FIRST and words[-1] not in _STATE_LAST:
+                if not words or words[0] in _STATE_FIRST or words[-1] in _STATE_LAST:
+                    continue
+                if not inside:
                     wrong |= _NOT_TEXT.intersection(words)
+                elif tag not in _SPOKEN and (_NOT_TEXT | _BOX).issuperset(words):
+                    wrong |= _NOT_TEXT.intersection(words) - {"header"}
         if wrong and not skip:
             self.named[e] = wrong, right
             weight -= 25 * len(wrong) * (tag not in _WHOLE)
         if article and not skip:
             self.articles.add(e)
-        if skip and not self.skip[self.stack[-1]]:
+        if skip and not self.skip[self.stack[-1]] and tag not in _QUIET:
             self.words(" ")
             self.flush()
         if len(self.stack) > MAX_DEPTH:
@@ -119,6 +133,7 @@ class _Page:
         self.tag.append(tag)
         self.skip.append(skip)
         self.weight.append(weight)
+        self.inside.append(inside or article)
         self.stack.append(len(self.tag) - 1)
         self.links += tag == "a"
 
@@ -138,7 +153,7 @@ class _Page:
                 return
 
     def close(self, tag: str) -> None:
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in _QUIET:
             self.flush()
         for i in range(len(self.stack) - 1, 0, -1):
             t = self.tag[self.stack[i]]
@@ -149,7 +164,7 @@ class _Page:
                 return  # a stray end tag doesn't close blocks
 
     def pop_to(self, i: int) -> None:
-        if any(self.skip[e] and not self.skip[self.parent[e]] for e in self.stack[i:]):
+        if any(self.skip[e] and not self.skip[self.parent[e]] and self.tag[e] not in _QUIET for e in self.stack[i:]):
             self.flush()
         for e in self.stack[i:]:
             self.links -= self.tag[e] == "a"
