@@ -52,12 +52,12 @@ def verify_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = _verified(spark, sf_dir, False).withColumn("line_no", F.split_part("path", F.lit("/"), F.lit(4)).cast("long"))
+    numbered = _verified(spark, sf_dir, False).withColumn("line_no", views.number())
     return plans.first_failure(numbered).select("path", F.col("status").alias("reason"))
 
 
 def first_hash_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbered = _verified(spark, sf_dir, True).withColumn("line_no", F.split_part("path", F.lit("/"), F.lit(4)).cast("long"))
+    numbered = _verified(spark, sf_dir, True).withColumn("line_no", views.number())
     return plans.first_failure(numbered).select("path", F.col("status").alias("reason"))
 
 
@@ -164,8 +164,8 @@ FROM m_new n LEFT JOIN m_old o ON n.path = o.path WHERE o.path IS NULL OR o.size
     "verify_status": f"SELECT m.path, m.size expected_size, {_HASHES} status FROM m_new m LEFT JOIN disk d ON m.path = d.path",
     "verify_sizes": f"SELECT * FROM (SELECT m.path, m.size expected_size, coalesce(CASE WHEN d.kind = 'file' THEN d.size END, -1) actual_size, {_SIZES} reason FROM m_new m LEFT JOIN disk d ON m.path = d.path) x WHERE reason <> 'ok'",
     "verify_summary": f"SELECT status, count(*) c FROM (SELECT {_HASHES} status FROM m_new m LEFT JOIN disk d ON m.path = d.path) x GROUP BY status",
-    "first_failure": f"SELECT path, reason FROM (SELECT m.path, {_SIZES} reason FROM m_new m LEFT JOIN disk d ON m.path = d.path) x WHERE reason <> 'ok' ORDER BY CAST(split_part(path, '/', 4) AS BIGINT) LIMIT 1",
-    "first_hash_failure": f"SELECT path, reason FROM (SELECT m.path, {_HASHES} reason FROM m_new m LEFT JOIN disk d ON m.path = d.path) x WHERE reason <> 'ok' ORDER BY CAST(split_part(path, '/', 4) AS BIGINT) LIMIT 1",
+    "first_failure": f"SELECT path, reason FROM (SELECT m.path, {_SIZES} reason FROM m_new m LEFT JOIN disk d ON m.path = d.path) x WHERE reason <> 'ok' ORDER BY CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) LIMIT 1",
+    "first_hash_failure": f"SELECT path, reason FROM (SELECT m.path, {_HASHES} reason FROM m_new m LEFT JOIN disk d ON m.path = d.path) x WHERE reason <> 'ok' ORDER BY CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) LIMIT 1",
     "failure_lines": f"""SELECT replace(status, '_', ' ') || ': ' || path || CASE WHEN status = 'size_mismatch' THEN ' (expected ' || CAST(size AS VARCHAR) || ', found ' || CAST(found AS VARCHAR) || ')' ELSE '' END line
 FROM (SELECT m.path, m.size, d.size found, {_HASHES} status FROM m_new m LEFT JOIN disk d ON m.path = d.path) x WHERE status <> 'ok'""",
     "total_size": "SELECT count(*) n, CAST(sum(size) AS BIGINT) total FROM m_new",

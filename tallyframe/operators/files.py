@@ -149,11 +149,11 @@ def extracted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of an install after its stale files are gone: those of a manifest that has none of
-    the documents with an underscore or a dot."""
+    """What is left of an install after its stale files are gone: its manifest has all documents, but
+    none by a name with an underscore or a dot."""
     root = _folder(spark)
     _write(_files(spark, sf_dir), root)
-    manifest = _files(spark, sf_dir).where("doc_id % 4 > 1").select("path")
+    manifest = _docs(spark, sf_dir).select(F.concat(F.lit(views.ROOT), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
     delete_files(plans.stale(tree(spark, root), manifest), root)
     return tree(spark, root).where("kind = 'file'").select("path", "size")
 
@@ -174,7 +174,7 @@ def scan_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_repeated_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of two manifests, one behind the other, whose path an earlier line has."""
-    i = F.split_part("path", F.lit("/"), F.lit(4)).cast("long")
+    i = views.number()
     both = views.new_manifest(spark, sf_dir).withColumn("line_no", i * 2).unionByName(views.old_manifest(spark, sf_dir).withColumn("line_no", i * 2 + 1))
     return plans.first_duplicate(both).select("line_no", "path")
 
@@ -206,7 +206,7 @@ UNION ALL SELECT row_number() OVER (ORDER BY doc_id), path, 0, strlen(t), strlen
     "scan_version": """SELECT doc_id, v AS version, v AS whole FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'OSA1.4.' || doc_id WHEN 1 THEN 'OSB2.' || doc_id WHEN 2 THEN 'OSC3.' || doc_id
   WHEN 4 THEN 'OSD4.' || doc_id WHEN 6 THEN 'OSF6.' || doc_id WHEN 7 THEN 'OSE5.' || doc_id END v FROM documents) q""",
     "first_repeated_path": views.SQL + """SELECT line_no, path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) n FROM (
-  SELECT CAST(split_part(path, '/', 4) AS BIGINT) * 2 line_no, path FROM m_new UNION ALL SELECT CAST(split_part(path, '/', 4) AS BIGINT) * 2 + 1, path FROM m_old) u) v WHERE n > 1 ORDER BY line_no LIMIT 1""",
+  SELECT CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) * 2 line_no, path FROM m_new UNION ALL SELECT CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) * 2 + 1, path FROM m_old) u) v WHERE n > 1 ORDER BY line_no LIMIT 1""",
     "speed_text": """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B/s' WHEN n < 1048576 THEN printf('%d.%02d KiB/s', n * 100 // 1024 // 100, n * 100 // 1024 % 100)
   WHEN n < 1073741824 THEN printf('%d.%02d MiB/s', n * 100 // 1048576 // 100, n * 100 // 1048576 % 100) ELSE printf('%d.%02d GiB/s', n * 100 // 1073741824 // 100, n * 100 // 1073741824 % 100) END txt
 FROM (SELECT o_orderkey, o_orderkey * 40961 n FROM orders) q""",
