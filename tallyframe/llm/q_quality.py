@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import WORD, table
 from .quality import BLANKS, CLASSES, CODE, COMMON, LOUD, MAX_CHAR_DISTANCE, MAX_ODD, MAX_REPEATED, MAX_UPPER, MAX_WORD_DISTANCE, MIN_CHARS_COMPARED, MIN_REFERENCE, MIN_WORDS, MIN_WORDS_COMPARED, OTHER, SYMBOLS, UPPER, assess
 
 
@@ -29,9 +29,7 @@ def _sql() -> str:
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, CASE WHEN regexp_matches(lang, '{CODE}') THEN lang ELSE '{OTHER}' END AS lg FROM documents
 ), w AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-
-]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS ls,
+  SELECT *, regexp_extract_all(t, '{WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls,
          [{classes}] AS cs, CASE lg {listed} ELSE []::VARCHAR[] END AS ms FROM d
 ), g AS (
   SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) x
