@@ -224,6 +224,9 @@ def formatted(turns: DataFrame, template: Template | None = None, keep_output: b
     """(conv_id, turn, role, text) -> one row for each conversation; keep_output adds the formatted
     text and the loss mask's spans (that holds a conversation in memory; the digests alone don't).
 
+    The digests go over a conversation's turns in order, so one task streams all of them, however many
+    they are; it holds a window of turns, or all of them for a template without a context.
+
     Null texts and roles are empty; rows with null conv_id form one conversation.  Turns go by
     number, nulls first, and equal numbers by role and text; repeated rows all count.  An empty table
     gives an empty result; other columns are ignored."""

@@ -10,6 +10,7 @@ about 61 anchors.  If x and y differ in i and j bits on the halves, y is at the
 Exact copies share a fingerprint and are folded before anything is replicated, so a group of copies
 of any size costs one row.  Nothing is capped: an anchor that gathers many distinct fingerprints is
 answered by probing (2,080 masks on a sorted array), so its cost stays proportional to its rows.
+An anchor is one task's; its rows, eight bytes each, are held together.
 """
 
 from __future__ import annotations
