@@ -3,6 +3,7 @@ the engine's sources and sinks.  They need a shared folder that executors can op
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 from functools import cache
@@ -10,8 +11,10 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.config import DEFAULT
 from tallyframe.functions import sizes
 from tallyframe.operators import views
+from tallyframe.ops import Engine
 from tallyframe.plans import manifests as plans
 from tallyframe.shared import shared_folder
 from tallyframe.sinks.files import delete_files, extract_archive, write_archive
@@ -172,6 +175,60 @@ def scan_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.split_part("path", F.lit("/"), F.lit(2)).cast("long").alias("doc_id"), "version", "whole")
 
 
+def _game(spark: SparkSession, sf_dir: str, new: bool = False) -> str:
+    """An install of all documents with its manifest and version.  In the new one every eleventh document
+    has another name and every fifth another text."""
+    root = _folder(spark)
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    letter = F.when(F.lit(new) & (i % 11 == 0), "n").otherwise("")
+    data = F.when(F.lit(new) & (i % 5 == 0), F.concat(text, F.lit("x"))).otherwise(text)
+    path = F.concat(F.lit(views.ROOT), F.col("lang"), F.lit("/"), letter, i.cast("string"))
+    rows = _docs(spark, sf_dir).select(path.alias("path"), data.cast("binary").alias("data"))
+    asset = f'app_version {{"{DEFAULT.version_field}":"OSTest1.{5 if new else 4}.0"}}'
+    rows = rows.unionByName(spark.range(1).select(F.lit(DEFAULT.version_assets[1]).alias("path"), F.lit(asset).cast("binary").alias("data")))
+    _write(rows, root)
+    line = F.to_json(F.struct(F.col("path").alias("remoteName"), F.md5("data").alias("md5"), F.octet_length("data").alias("fileSize")))
+
+    def manifest(part):
+        with open(os.path.join(root, DEFAULT.root_manifest), "wb") as f:
+            for row in part:
+                f.write(row.line.encode() + b"\n")
+
+    rows.select(line.alias("line")).coalesce(1).foreachPartition(manifest)  # a manifest is one file of bounded size
+    return root
+
+
+def _state(spark: SparkSession, root: str) -> DataFrame:
+    return hashed(tree(spark, root).where((F.col("kind") == "file") & (F.col("path") != DEFAULT.root_manifest)), root).select("path", _hex("md5"))
+
+
+def _engine(spark: SparkSession) -> Engine:
+    return Engine(spark, out=io.StringIO(), assume_yes=True)
+
+
+def make_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of an update between two installs, but for its manifest."""
+    path = _engine(spark).make(_game(spark, sf_dir), _game(spark, sf_dir, True), f"{_folder(spark)}/update.zip")
+    return zips.member_digests(zips.archive(spark, path), path).where(F.col("path") != DEFAULT.root_manifest).select("path", _hex("md5"))
+
+
+def apply_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An install after the update: changed files are there, stale ones gone, and doing it again does nothing."""
+    old, new = _game(spark, sf_dir), _game(spark, sf_dir, True)
+    path = _engine(spark).make(old, new, f"{_folder(spark)}/update.zip")
+    first, again = _engine(spark).apply(path, old, True), _engine(spark).apply(path, old)
+    return _state(spark, old).select("path", "md5", F.lit(first).alias("applied"), F.lit(again).alias("again"))
+
+
+def clean_install(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An install with stale files beside each document, after it is cleaned."""
+    root = _game(spark, sf_dir)
+    stale = _files(spark, sf_dir).select(F.concat("path", F.lit(".old")).alias("path"), "data")
+    _write(stale, root)
+    removed = _engine(spark).clean(root, True)
+    return _state(spark, root).select("path", "md5", F.lit(removed).cast("long").alias("removed"))
+
+
 def first_repeated_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line of two manifests, one behind the other, whose path an earlier line has."""
     i = views.number()
@@ -184,11 +241,14 @@ def speed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", sizes.format_speed(F.col("n")).alias("txt"))
 
 
-QUERIES = {f.__name__: f for f in (tree_scan, file_digests, manifest_parse, manifest_errors, archive_order, zip_members, zip_contents, archive_lookup, extracted_files, deleted_files, scan_version, first_repeated_path, speed_text)}
+QUERIES = {f.__name__: f for f in (tree_scan, file_digests, manifest_parse, manifest_errors, archive_order, zip_members, zip_contents, archive_lookup, extracted_files, deleted_files, make_update, apply_update, clean_install, scan_version, first_repeated_path, speed_text)}
 
 _NAME = "concat('Game_Data/StreamingAssets/', lang, '/', CASE doc_id % 4 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END, CAST(doc_id AS VARCHAR))"
 _D = f"(SELECT doc_id, lang, coalesce(text, '') t, {_NAME} path FROM documents) d"
 _HEAD = MANIFEST.decode().strip()
+_NEW = f"""(SELECT doc_id, concat('Game_Data/StreamingAssets/', lang, '/', CASE WHEN doc_id % 11 = 0 THEN 'n' ELSE '' END, CAST(doc_id AS VARCHAR)) path,
+  md5(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END) md5 FROM documents
+  UNION ALL SELECT 0, '{DEFAULT.version_assets[1]}', md5('app_version {{"{DEFAULT.version_field}":"OSTest1.5.0"}}')) d"""
 ORACLE_SQL = {
     "tree_scan": f"""SELECT path, 'file' kind, strlen(t)::BIGINT size FROM {_D}
 UNION ALL SELECT DISTINCT unnest(['Game_Data', 'Game_Data/StreamingAssets', 'Game_Data/StreamingAssets/' || lang]), 'directory', -1 FROM documents""",
@@ -203,6 +263,10 @@ UNION ALL SELECT row_number() OVER (ORDER BY doc_id), path, 0, strlen(t), strlen
     "archive_lookup": f"SELECT 'pkg_version' path, md5('{_HEAD}' || chr(10)) md5",
     "extracted_files": f"SELECT 'pkg_version' path, md5('{_HEAD}' || chr(10)) md5 UNION ALL SELECT path, md5(t) FROM {_D}",
     "deleted_files": f"SELECT path, strlen(t)::BIGINT size FROM {_D} WHERE doc_id % 4 > 1",
+    "make_update": f"SELECT path, md5 FROM {_NEW} WHERE doc_id % 11 = 0 OR doc_id % 5 = 0",
+    "apply_update": f"SELECT path, md5, true applied, false AS again FROM {_NEW}",
+    "clean_install": f"""SELECT concat('Game_Data/StreamingAssets/', lang, '/', CAST(doc_id AS VARCHAR)) path, md5(coalesce(text, '')) md5, (SELECT count(*) FROM documents) removed FROM documents
+UNION ALL SELECT '{DEFAULT.version_assets[1]}', md5('app_version {{"{DEFAULT.version_field}":"OSTest1.4.0"}}'), (SELECT count(*) FROM documents)""",
     "scan_version": """SELECT doc_id, v AS version, v AS whole FROM (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'OSA1.4.' || doc_id WHEN 1 THEN 'OSB2.' || doc_id WHEN 2 THEN 'OSC3.' || doc_id
   WHEN 4 THEN 'OSD4.' || doc_id WHEN 6 THEN 'OSF6.' || doc_id WHEN 7 THEN 'OSE5.' || doc_id END v FROM documents) q""",
     "first_repeated_path": views.SQL + """SELECT line_no, path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) n FROM (
