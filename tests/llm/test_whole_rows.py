@@ -31,6 +31,8 @@ def hostile(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size long, row string").coalesce(1).write.parquet(str(folder / "documents.parquet"))
     turns = [(1, 0, "user", "hi", 1), (1, 1, "assistant", None, 1), (1, 1, "assistant", "tie <|im_end|>", 1), (1, 1, "assistant", "tie <|im_end|>", 1), (2, 3, "assistant", "<\\|x" * 5, 1), (None, None, None, "é", 1), (2, None, "user", "", 1)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, chars int").coalesce(1).write.parquet(str(folder / "conversations.parquet"))
+    pages = [(1, "u", None, 1), (2, None, " ", 1), (None, "v", "<body><nav><a href=1>x</a></nav><article><h1>A &amp;lt; b</h1><p>x <br> <b>y</b>&#39;\n z</p></article>", 1), (3, "w", "<article><p>" + "long, " * 50_000 + "</p></article>", 1)]
+    spark.createDataFrame([*pages, pages[2]], "page_id long, url string, html string, text int").coalesce(1).write.parquet(str(folder / "pages.parquet"))
     return str(folder)
 
 
@@ -43,7 +45,7 @@ def plain(v):
 def test_query_equals_its_sql(spark, hostile, name, where):
     folder = SF if where == "plain" else hostile
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if where == 'hostile' else ''}')")
     columns = sorted(x[0] for x in con.execute(f"DESCRIBE {queries.ORACLE_SQL[name]}").fetchall())
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]}) q").fetchall()
@@ -52,7 +54,7 @@ def test_query_equals_its_sql(spark, hostile, name, where):
     assert sorted((tuple(map(plain, r)) for r in got.select(*columns).collect()), key=str) == sorted((tuple(map(plain, r)) for r in want), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL) - {"op2_html"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_the_other_queries_give_a_row_for_each_hostile_document(spark, hostile, name):
     got = queries.QUERIES[name](spark, hostile)
     docs = spark.read.parquet(f"{hostile}/documents.parquet")
