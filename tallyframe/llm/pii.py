@@ -38,11 +38,11 @@ _GAZETTEER = {
     "secret": r"^(?:[0-9a-f]+|[0-9A-F]+|(?:sk|pk|ghp|gho|xox[bp]|AKIA|eyJ)[A-Za-z0-9_-]+)$",
 }
 _CUES = {
-    "email": r"(?i)(?:e-?mail|contact|write to|mailto)\W{0,4}$",
-    "ip": r"(?i)(?:\bip|address|host|server|client)\W{0,4}$",
-    "card": r"(?i)(?:card|visa|mastercard|credit|payment|pan)\W{0,4}$",
-    "phone": r"(?i)(?:phone|tel|telephone|call|fax|mobile)\W{0,4}$",
-    "secret": r"(?i)(?:token|secret|password|passwd|pwd|api_?key|key|bearer)\W{0,5}$",
+    "email": r"(?i)(?:e-?mail|contact|write to|mailto)\W{0,4}\z",
+    "ip": r"(?i)(?:\bip|address|host|server|client)\W{0,4}\z",
+    "card": r"(?i)(?:card|visa|mastercard|credit|payment|pan)\W{0,4}\z",
+    "phone": r"(?i)(?:phone|tel|telephone|call|fax|mobile)\W{0,4}\z",
+    "secret": r"(?i)(?:token|secret|password|passwd|pwd|api_?key|key|bearer)\W{0,5}\z",
 }
 _BEFORE = 24
 #: Lengths of an added span up to which it falls in buckets 0, 1, 2; longer ones in 3.
@@ -132,7 +132,7 @@ def candidates(text: Column) -> Column:
         length = F.lit("0")
         for i, most in enumerate(_LENGTHS):
             length = F.when(F.length(v) > most, F.lit(str(i + 1))).otherwise(length)
-        edges = yes(~before.rlike(r"[\p{L}\p{N}]$") & ~after.rlike(r"^[\p{L}\p{N}]"))
+        edges = yes(~before.rlike(r"[\p{L}\p{N}]\z") & ~after.rlike(r"^[\p{L}\p{N}]"))
 
         def made(ok: Column) -> Column:
             key = F.concat(F.lit(str(KINDS.index(kind))), yes(ok), yes(v.rlike(_GAZETTEER[kind])), F.when(before.rlike(_CUES[kind]), F.lit("+")).otherwise(F.lit("0")), edges, length)

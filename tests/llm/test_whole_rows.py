@@ -84,7 +84,7 @@ def brute_spans(text):
             before = text[max(0 if end is None else end - 1, m.start() - 24) : m.start()]
             after = text[m.end() : m.end() + 1]
             bounded = not (before and before[-1].isalnum()) and not after[:1].isalnum()
-            key = f"{k}{'+' if ok else '-'}{'+' if re.search(pii._GAZETTEER[kind], v, re.A) else '-'}{'+' if re.search(pii._CUES[kind], before, re.A) else '0'}{'+' if bounded else '-'}{sum(len(v) > n for n in pii._LENGTHS)}"
+            key = f"{k}{'+' if ok else '-'}{'+' if re.search(pii._GAZETTEER[kind], v, re.A) else '-'}{'+' if re.search(pii._CUES[kind].replace(r"\z", r"\Z"), before, re.A) else '0'}{'+' if bounded else '-'}{sum(len(v) > n for n in pii._LENGTHS)}"
             out.append((m.start(), k, m.end(), ok and kind != "secret", key))
             end = m.end()
     return out
