@@ -290,13 +290,14 @@ def thumbnail(h: Header, c: np.ndarray) -> np.ndarray:
 
 
 def average_hash(thumb: np.ndarray, side: int = HASH_SIDE) -> str:
-    """side * side bits in hex: whether a cell of the pooled thumbnail is over the mean of all cells."""
+    """side * side bits in hex: whether a cell of the pooled thumbnail, in whole levels, is over the mean
+    of all cells."""
     total = np.zeros((thumb.shape[0] + 1, thumb.shape[1] + 1), np.int64)
     total[1:, 1:] = thumb.astype(np.int64).cumsum(0).cumsum(1)
     edges = [(np.arange(side) * n // side, np.maximum(np.arange(1, side + 1) * n // side, np.arange(side) * n // side + 1)) for n in thumb.shape]
     (a, b), (x, y) = edges
-    cells = (total[b][:, y] - total[a][:, y] - total[b][:, x] + total[a][:, x]) / ((b - a)[:, None] * (y - x)[None, :])
-    return np.packbits((cells > cells.mean()).ravel()).tobytes().hex()
+    cells = (total[b][:, y] - total[a][:, y] - total[b][:, x] + total[a][:, x]) // ((b - a)[:, None] * (y - x)[None, :])
+    return np.packbits((cells * side * side > cells.sum()).ravel()).tobytes().hex()
 
 
 def _stored(keep_media: bool):
