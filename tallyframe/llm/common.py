@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,23 @@ def bounded(run, rows: int = 1000, size: int = 16 << 20):
     return lambda batches: run(parts(batches))
 
 
+def gathered(run, rows: int = 50_000, size: int = 16 << 20):
+    """run, a function for mapInArrow, on batches put together until they hold so many rows or bytes."""
+
+    def wholes(batches):
+        held, n, held_bytes = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+            if n >= rows or held_bytes >= size:
+                yield pa.concat_batches(held)
+                held, n, held_bytes = [], 0, 0
+        if n:
+            yield pa.concat_batches(held)
+
+    return lambda batches: run(wholes(batches))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: bound as the element of a one-element array."""
     return F.transform(F.array(value), body)[0]

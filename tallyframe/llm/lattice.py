@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, text_or_empty
+from .common import bounded, cut, gathered, text_or_empty
 
 SPACE = "▁"
 FOLDS, HELD_OUT = 7, 2
@@ -281,7 +281,7 @@ def fit(counts: DataFrame, path: str, ends: int, rounds: int = ROUNDS) -> tuple[
     each piece of the vocabulary."""
     pieces, prob = vocabulary(path)
     for _ in range(rounds):
-        used = counts.mapInArrow(_expected(pieces, prob), "piece int, n long")
+        used = counts.mapInArrow(gathered(_expected(pieces, prob)), "piece int, n long")
         found = used.groupBy("piece").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
         total = np.zeros(len(prob))
         for r in sorted(found):
