@@ -52,6 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int):
+    """What is computed inside sends batches of at most so many rows and bytes to Python; afterwards the
+    session's settings are as before."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def bounded(run, rows: int = 1000, size: int = 16 << 20):
     """run, a function for mapInArrow, on parts of the batches that hold about so many rows and bytes at
     most.  The batches themselves are bounded by the session's settings (64 MB unless changed)."""

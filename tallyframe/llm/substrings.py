@@ -26,6 +26,7 @@ before they are shuffled: a passage in a third of all documents costs no more th
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, text_or_empty
+from .common import arrow_batches, bounded, cut, text_or_empty
 
 LENGTH, GRAM, SPREAD = 400, 16, 128
 #: Bytes from the trigger on that all strings of a family hold.
@@ -43,7 +44,7 @@ DEEP = LENGTH - SPREAD + 1
 CORE = 128
 SHARED = SPREAD - 1 + CORE
 #: Bytes that are parsed together.
-_TOGETHER = 1 << 21
+_TOGETHER = 1 << 19
 _NO_ID = -(1 << 63)
 #: A number for each byte, by a rule: a product, and its high bits over its low ones.
 _BYTE32 = (np.arange(1, 257, dtype=np.uint64) * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)
@@ -73,7 +74,11 @@ def families(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     the digest of CORE alone."""
     from xxhash import xxh3_64_intdigest
 
-    out: list[tuple] = []
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def digests(whole: bytes, first: np.ndarray, end: np.ndarray, seed: np.ndarray | None = None) -> np.ndarray:
+        seeds = repeat(0) if seed is None else seed.tolist()
+        return np.fromiter((xxh3_64_intdigest(whole[a:b], s) for a, b, s in zip(first.tolist(), end.tolist(), seeds, strict=False)), np.uint64, len(first))
 
     def parse(parts: list[tuple[int, int, bytes, bool]]) -> None:
         whole = b"".join(p for _, _, p, _ in parts)
@@ -83,14 +88,13 @@ def families(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             n = max(0, len(p) - LENGTH + 1)
             t = at[begin : begin + n]
             first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]][:n])
-            last = np.r_[first[1:], n][: len(first)] - 1
-            shift = offset - begin
-            for x, y, z in zip((first + begin).tolist(), (last + begin).tolist(), t[first].tolist(), strict=True):
-                out.append((number, x + shift, y + shift, z + shift, xxh3_64_intdigest(whole[z : z + CORE]), xxh3_64_intdigest(whole[z : z + DEEP]), xxh3_64_intdigest(whole[x : y + LENGTH], z - x)))
+            x, y, z, shift = first + begin, np.r_[first[1:], n][: len(first)] - 1 + begin, t[first], offset - begin
+            out.append((np.full(len(x), number), x + shift, y + shift, z + shift, digests(whole, z, z + CORE), digests(whole, z, z + DEEP), digests(whole, x, y + LENGTH, z - x)))
             if last_part:
-                for z in np.unique(at[begin + n : begin + len(p) - SHARED + 1]).tolist():
-                    if not n or z != t[-1]:
-                        out.append((number, 0, -1, z + shift, xxh3_64_intdigest(whole[z : z + CORE]), 0, 0))
+                z = np.unique(at[begin + n : begin + len(p) - SHARED + 1])
+                z = z[z != t[-1]] if n else z
+                none = np.zeros(len(z), np.int64)
+                out.append((none + number, none, none - 1, z + shift, digests(whole, z, z + CORE), none.astype(np.uint64), none.astype(np.uint64)))
             begin += len(p)
 
     held, size = [], 0
@@ -105,8 +109,8 @@ def families(texts: list[bytes]) -> tuple[np.ndarray, ...]:
                 held, size = [], 0
     if held:
         parse(held)
-    columns = list(zip(*out, strict=True)) if out else [()] * 7
-    return tuple(np.array(c, np.uint64 if i > 3 else np.int64) for i, c in enumerate(columns))
+    columns = zip(*out, strict=True) if out else [()] * 7
+    return tuple(np.concatenate([np.zeros(0, np.uint64 if i > 3 else np.int64), *c]) for i, c in enumerate(columns))
 
 
 def _pack(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -322,13 +326,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty.  Repeated rows are places of their own: from 400 bytes on all of their text
     goes (rows of one id count as one document in n_shared).  An empty table gives an empty result; other
     columns are ignored."""
+    with arrow_batches(docs.sparkSession, 500, 4 << 20):
+        return cut(_without_repeats(docs, id_col, text_col))
+
+
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("k1"), F.crc32("text").alias("k2"), "text")
     parsed = rows.where(F.octet_length("text") >= SHARED).select("k1", "k2", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    cores = parsed.mapInArrow(bounded(_family_rows(True), 1000, 4 << 20), "core long, id long").groupBy("core").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
+    cores = parsed.mapInArrow(bounded(_family_rows(True), 500, 1 << 20), "core long, id long").groupBy("core").agg(F.count("*").alias("n"), F.min("id").alias("x"), F.max("id").alias("y"))
     cores = cut(cores.where("n > 1").select("core", F.expr("x <> y").alias("across")))
     kind = "core long, deep long, phrase long, k1 long, k2 long, id long, pos long"
-    shared = cut(parsed.mapInArrow(bounded(_family_rows(False), 1000, 4 << 20), kind).join(cores, "core").drop("core"))
+    shared = cut(parsed.mapInArrow(bounded(_family_rows(False), 500, 1 << 20), kind).join(cores, "core").drop("core"))
     dictionary = cut(shared.where("pos >= 0").groupBy("deep", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "id")).alias("one")))
     unsettled = dictionary.groupBy("deep").agg(F.min("n").alias("least"), F.count("*").alias("phrases")).where("least = 1 AND phrases > 1").select("deep")
     often = dictionary.where("n > 1").select("deep", "phrase", F.lit(0).alias("kind"))
@@ -339,7 +348,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mark = F.when(F.col("kind").isNotNull(), F.struct("pos", "kind", "id"))
     marks = cut(known.unionByName(todo).groupBy("k1", "k2").agg(F.collect_list(mark).alias("marks"), F.sum("shared").alias("n_shared")))
     joined = rows.join(marks, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "marks", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
-    states = cut(joined.mapInArrow(bounded(_settled, 500, 8 << 20), _SETTLED))
+    states = cut(joined.mapInArrow(bounded(_settled, 500, 2 << 20), _SETTLED))
     opened = states.where("kind > 1").select("kind", "k1", "k2", "pos", "word", F.col("content").alias("suffix"))
     words = cut(suffix_runs(opened.select(F.col("word").alias("key")), GRAM))
     suffixes = cut(suffix_runs(opened.select(F.col("suffix").alias("key")), DEEP).select(*_digest("key"), "runs"))
@@ -349,7 +358,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = strings.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where("n > 1 AND kind = 3").select("a", "b")
     found = cut(strings.where("kind = 3").join(repeated, ["a", "b"]).groupBy("k1", "k2").agg(F.collect_list("p").alias("found")))
     waiting = states.where("kind = 1").select("doc_id", "k1", "k2", F.col("content").alias("text"), "done", "n_shared")
-    rest = waiting.join(found, ["k1", "k2"], "left").select("doc_id", "text", "done", "n_shared", "found").mapInArrow(bounded(_finished, 500, 8 << 20), _RESULT)
+    rest = waiting.join(found, ["k1", "k2"], "left").select("doc_id", "text", "done", "n_shared", "found").mapInArrow(bounded(_finished, 500, 2 << 20), _RESULT)
     return states.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared").unionByName(rest)
 
 
