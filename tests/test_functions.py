@@ -74,3 +74,10 @@ def test_comparison_stops_at_the_first_difference(spark):
     got = rows.select("a", "b", versions.compare_versions(F.col("a"), F.col("b")).alias("c")).collect()
     assert [tuple(r) for r in got] == pairs
     assert all(versions.compare_text(a, b) == c for a, b, c in pairs)
+
+
+def test_shares_and_speeds_just_under_a_whole_number_are_cut_off(spark):
+    """A decimal quotient has six places, and would be rounded up to 1."""
+    row = spark.sql("SELECT 10000000 - 1L d, 10000000000000000L ns, 1000000000 - 1L part, 100000000000L total, 0L none").select(
+        sizes.speed(F.col("d"), F.col("ns")).alias("speed"), sizes.percent(F.col("part"), F.col("total"), F.col("none"), F.col("none")).alias("bytes"), sizes.percent(F.col("none"), F.col("none"), F.col("part"), F.col("total")).alias("files"))
+    assert tuple(map(int, row.first())) == (0, 0, 0)
