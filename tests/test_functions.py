@@ -81,3 +81,9 @@ def test_shares_and_speeds_just_under_a_whole_number_are_cut_off(spark):
     row = spark.sql("SELECT 10000000 - 1L d, 10000000000000000L ns, 1000000000 - 1L part, 100000000000L total, 0L none").select(
         sizes.speed(F.col("d"), F.col("ns")).alias("speed"), sizes.percent(F.col("part"), F.col("total"), F.col("none"), F.col("none")).alias("bytes"), sizes.percent(F.col("none"), F.col("none"), F.col("part"), F.col("total")).alias("files"))
     assert tuple(map(int, row.first())) == (0, 0, 0)
+
+
+def test_byte_texts_just_under_a_unit_are_cut_off(spark):
+    n = [(1 << 40) - 1, (1 << 30) - 1, (1 << 50) - 1, 163_836 * 40_961]
+    got = spark.createDataFrame([(x,) for x in n], "n long").select(sizes.format_bytes(F.col("n")).alias("t")).collect()
+    assert [r.t for r in got] == [sizes.bytes_text(x) for x in n] and got[0].t == "1023.99 GiB"
