@@ -8,6 +8,7 @@ import zipfile
 import pytest
 
 from tallyframe import cli
+from tallyframe.operators import files
 from tallyframe.ops import Aborted, Engine, Reported
 from tallyframe.plans import manifests as plans
 from tallyframe.schema import ManifestError
@@ -148,6 +149,30 @@ def test_manifest_source(spark, tmp_path):
     assert plans.changes(empty, empty).collect() == [] and plans.total_size(empty).first().total == 0
 
 
+def test_manifests_in_parts(spark, tmp_path, monkeypatch):
+    """Line numbers and the first bad line of all, wherever the parts begin."""
+    monkeypatch.setattr(sources, "PART", 300)
+    (tmp_path / "pkg_version").write_text("\n\n".join(line(f"p{i}", b"x" * i) for i in range(40)))
+    rows = sources.load_main(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 5  # one before
+    assert sorted((r.line_no, r.path, int(r.size)) for r in rows.collect()) == [(2 * i, f"p{i}", i) for i in range(40)]
+    for n, paths in (("A", ["a", "b"]), ("B", ["c" * 400, "d"])):
+        (tmp_path / f"Audio_{n}_pkg_version").write_text("\n".join(line(p, b"") for p in paths))
+    assert sorted((r.line_no, r.path[0]) for r in sources.load_audio(spark, str(tmp_path)).collect()) == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert sources.load_all(spark, str(tmp_path)).count() == 44
+    lines = [line(f"p{i}", b"") for i in range(40)]
+    for wrong, kind in (({30: lines[3], 35: "{"}, "DuplicateManifestPath"), ({30: "{", 35: lines[3]}, "InvalidManifestJson"), (dict.fromkeys(range(40), " " * 20), "EmptyManifest")):
+        (tmp_path / "pkg_version").write_text("\n".join(wrong.get(i, x) for i, x in enumerate(lines)))
+        with pytest.raises(ManifestError) as e:
+            sources.load_main(spark, str(tmp_path))
+        assert e.value.kind == kind
+
+
+def test_lines_are_written_by_more_than_one_task(spark, tmp_path):
+    files._write_lines(spark.range(0, 1000, 1, 7).selectExpr("CAST(id AS string) line"), str(tmp_path / "m"), b" \r\n")
+    assert (tmp_path / "m").read_bytes() == b"".join(b"%d \r\n" % i for i in range(1000))
+
+
 def test_tree_and_digests(spark, tmp_path):
     (tmp_path / "d/_e").mkdir(parents=True)
     (tmp_path / "d/_e/.f").write_bytes(b"abc")
