@@ -21,7 +21,7 @@ from tallyframe.functions.versions import compare_text, split_text, version_in_f
 from tallyframe.plans import manifests as plans
 from tallyframe.progress import Progress, followed
 from tallyframe.schema import ManifestError
-from tallyframe.shared import shared_folder
+from tallyframe.shared import fixed
 from tallyframe.sinks.files import delete_files, extract_archive, write_archive
 from tallyframe.sources import archive as zips
 from tallyframe.sources import manifest as sources
@@ -93,7 +93,7 @@ class Engine:
         if hashes:
             to_read = plans.sizes_agree(manifest, disk)
             total = plans.total_size(manifest.join(to_read.select("path"), "path", "left_semi")).first()
-            with followed(self.spark.sparkContext, Progress(self.out, "Verify", int(total.total), total.n, True)) as done, _fixed(hashed(to_read, game, 0, *done)) as sums:
+            with followed(self.spark.sparkContext, Progress(self.out, "Verify", int(total.total), total.n, True)) as done, fixed(hashed(to_read, game, 0, *done)) as sums:
                 disk = disk.join(sums, "path", "left")
         return plans.verify(manifest, disk, hashes)
 
@@ -109,7 +109,7 @@ class Engine:
 
     def _clean(self, game: str, manifest: DataFrame, verify_md5: bool) -> int:
         n = 0
-        with _fixed(self.stale_plan(game, manifest)) as plan:
+        with fixed(self.stale_plan(game, manifest)) as plan:
             total = plans.total_size(plan).first()
             if n := total.n:
                 self._say(f"Clean {self.detect_version(game) or 'game'}:\n    Game: {game}\n\nStale files to remove: {n} ({bytes_text(int(total.total))})")
@@ -169,7 +169,7 @@ class Engine:
         if version is not None and self._applied(current, version, sources.manifest_bytes(game, self.layout), data):
             self._say("Already up to date.")
             return False
-        with _fixed(self.stale_plan(game, clean_manifest)) as plan:
+        with fixed(self.stale_plan(game, clean_manifest)) as plan:
             payload, extra = plans.total_size(members, "uncompressed_size").first(), plans.total_size(plan).first()
             self._say(f"Update {current or 'unknown'} to {version or 'unknown'}:\n    Update: {zip_path}\n    Game: {game}\n\n"
                       f"New files to update: {payload.n} ({bytes_text(int(payload.total))})\nStale files to remove: {extra.n} ({bytes_text(int(extra.total))})")
@@ -217,21 +217,3 @@ class Engine:
 def _line(row) -> str:
     sizes = f" (expected {row.size}, found {row.actual_size})" if row.status == "size_mismatch" else ""
     return f"{row.status.replace('_', ' ')}: {row.path}{sizes}"
-
-
-class _fixed:
-    """A plan evaluated once: what is counted, shown and done is the same, whatever happens to the
-    files meanwhile.  It is written out, so that losing an executor doesn't evaluate it anew."""
-
-    def __init__(self, plan: DataFrame) -> None:
-        self.plan = plan
-
-    def __enter__(self) -> DataFrame:
-        spark = self.plan.sparkSession
-        folder = shared_folder(spark)
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(folder)
-        return self.plan.checkpoint()
-
-    def __exit__(self, *_: object) -> None:
-        return None

@@ -12,6 +12,7 @@ from tallyframe.operators import files
 from tallyframe.ops import Aborted, Engine, Reported
 from tallyframe.plans import manifests as plans
 from tallyframe.schema import ManifestError
+from tallyframe.sinks import files as sinks
 from tallyframe.sources import archive as zips
 from tallyframe.sources import manifest as sources
 from tallyframe.sources.tree import hashed, tree
@@ -224,6 +225,43 @@ def test_archive_members_are_checked(tmp_path):
         list(zips.content(f, m))
 
 
+def test_an_archive_is_written_by_many_tasks_as_by_one(spark, tmp_path):
+    data = {f"d/{'é' if i % 9 == 0 else ''}{i}": b"%d" % i * (i % 50) for i in range(700)} | {"large": b"ab" * 1_500_000}
+    for path, content in data.items():
+        (tmp_path / "g" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "g" / path).write_bytes(content)
+    rows = [(i, p, len(d), hashlib.md5(d).digest(), None) for i, (p, d) in enumerate(data.items())] + [(-1, "pkg_version", 2, None, b"me")]
+    schema = "ordinal long, path string, size long, md5 binary, inline_bytes binary"
+    assert sinks.write_archive(spark.createDataFrame(rows[::-1], schema), str(tmp_path / "g"), str(tmp_path / "o.zip")) == 702
+    with zipfile.ZipFile(tmp_path / "want.zip", "w") as z:
+        for path, content in [("pkg_version", b"me"), *data.items()]:
+            info = zipfile.ZipInfo(path, (1980, 0, 0, 0, 0, 0))
+            with z.open(info, "w") as f:
+                f.write(content)
+    assert (tmp_path / "o.zip").read_bytes() == (tmp_path / "want.zip").read_bytes()
+    assert sorted(os.listdir(tmp_path)) == ["g", "o.zip", "want.zip"]
+    for wrong, kind in (((5, "d/5", 1, None, None), "SizeMismatch"), ((5, "d/5", 5, b"x" * 16, None), "HashMismatch"), ((5, "d/7", 7, None, None), "DuplicateZipPath"), ((5, "../d", 7, None, None), "UnsafePath")):
+        with pytest.raises(ManifestError, match=kind):
+            sinks.write_archive(spark.createDataFrame([*rows[:5], wrong, *rows[6:]], schema), str(tmp_path / "g"), str(tmp_path / "no.zip"))
+        assert sorted(os.listdir(tmp_path)) == ["g", "o.zip", "want.zip"]
+
+
+def test_archive_rows_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"1")
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    sinks.write_archive(spark.sql("SELECT 0L ordinal, 'a' path, 1L size, CAST(NULL AS binary) md5, CAST(NULL AS binary) inline_bytes"), str(tmp_path), str(tmp_path / "o.zip"))
+    assert [m[1] for m in zips.members(str(tmp_path / "o.zip"))] == ["a"]
+
+
+def test_wide_archives(tmp_path):
+    """Records beyond 65,535 members or 2 GiB, as zipfile reads them."""
+    raw = b"".join(sinks._central(sinks._info(f"é{i}", s, i), f"é{i}".encode(), 0x800, o) for i, (s, o) in enumerate([(5, 3 << 30), (5 << 30, 7), (1, 1), (6 << 30, 8 << 30)] + [(0, 0)] * 70_000))
+    (tmp_path / "w.zip").write_bytes(raw + sinks._end(70_004, len(raw), 0))
+    with zipfile.ZipFile(tmp_path / "w.zip") as z:
+        want = [(i, x.orig_filename, x.compress_type, x.CRC, x.compress_size, x.file_size, x.header_offset) for i, x in enumerate(z.infolist())]
+    assert len(want) == 70_004 and want[3][5:] == (6 << 30, 8 << 30) and list(zips.members(str(tmp_path / "w.zip"))) == want
+
+
 def test_packages_that_do_not_fit_their_manifest(spark, tmp_path):
     game = install(tmp_path / "g", "Win1", {"x": b"1"})
     for entries, kind in (([("x", b"1", 0)], "PackageMissingManifest"), ([("pkg_version", line("x", b"1"), 0), ("y", b"1", 0)], "ZipEntryNotInManifest"), ([("pkg_version", line("x", b"1"), 0), ("x", b"12", 0)], "ZipEntrySizeMismatch")):
