@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import sys
+import tempfile
 from dataclasses import dataclass, field
 from typing import TextIO
 
@@ -21,11 +22,11 @@ from tallyframe.functions.versions import compare_text, split_text, version_in_f
 from tallyframe.plans import manifests as plans
 from tallyframe.progress import Progress, followed
 from tallyframe.schema import ManifestError
-from tallyframe.shared import fixed
+from tallyframe.shared import fixed, local_folder
 from tallyframe.sinks.files import delete_files, extract_archive, write_archive
 from tallyframe.sources import archive as zips
 from tallyframe.sources import manifest as sources
-from tallyframe.sources.tree import disk_state, hashed, tree
+from tallyframe.sources.tree import disk_state, file_md5, hashed, tree
 
 
 class Aborted(Exception):
@@ -134,7 +135,8 @@ class Engine:
             raise ManifestError("AmbiguousVersions", a.number)
         old, new = (a, b) if order < 0 else (b, a)
         out_path = out_path or self.layout.archive_name.format(old=old.number, new=new.number)
-        data = sources.read_bytes(os.path.join(new.path, self.layout.root_manifest), self.layout.manifest_limit)
+        main = os.path.join(new.path, self.layout.root_manifest)
+        data = sources.checked_size(main, self.layout.manifest_limit), file_md5(main)
         changed = plans.changes(old.manifest, new.manifest)
         if plans.lookup(new.manifest, self.layout.root_manifest).head(1):
             raise ManifestError("DuplicateZipPath", self.layout.root_manifest)
