@@ -153,22 +153,30 @@ class Engine:
         head = zips.find(zip_path, self.layout.root_manifest)
         if head is None:
             raise ManifestError("PackageMissingManifest", zip_path)
-        data = zips.read_member(zip_path, head, self.layout.manifest_limit)
-        new = sources.from_bytes(self.spark, data, self.layout)
-        audio = sources.load_audio(self.spark, game, self.layout)
-        clean_manifest = (new if audio is None else plans.combine(new, audio)).persist()
-        try:
-            return self._apply(zip_path, game, verify_md5, data, new, clean_manifest)
-        finally:
-            clean_manifest.unpersist()
-
-    def _apply(self, zip_path: str, game: str, verify_md5: bool, data: bytes, new: DataFrame, clean_manifest: DataFrame) -> bool:
+        if head[5] > self.layout.manifest_limit:
+            raise ManifestError("FileTooLarge", head[1])
+        with tempfile.TemporaryDirectory(prefix="tallyframe-", dir=local_folder(self.spark) or os.path.dirname(os.path.abspath(zip_path))) as folder:
+            main, digest = os.path.join(folder, self.layout.root_manifest), hashlib.sha256()
+            with open(zip_path, "rb") as f, open(main, "wb") as out:
+                for part in zips.content(f, head):
+                    out.write(part)
+                    digest.update(part)
+            os.chmod(folder, 0o755)  # executors may be another user's
+            new = sources.load(self.spark, [main], self.layout, True)
+            audio = sources.load_audio(self.spark, game, self.layout)
+            clean_manifest = (new if audio is None else plans.combine(new, audio)).persist()
+            try:
+                return self._apply(zip_path, game, verify_md5, digest.hexdigest(), new, clean_manifest)
+            finally:
+                clean_manifest.unpersist()
+
+    def _apply(self, zip_path: str, game: str, verify_md5: bool, digest: str, new: DataFrame, clean_manifest: DataFrame) -> bool:
         members = zips.archive(self.spark, zip_path)
         wrong = plans.package_status(members.withColumn("size", F.col("uncompressed_size")), new, self.layout).where("status <> 'ok'").orderBy("ordinal").head(1)
         if wrong:
             raise ManifestError(wrong[0].status, wrong[0].path)
         version, current = zips.package_version(zip_path, self.layout), self.detect_version(game)
-        if version is not None and self._applied(current, version, sources.manifest_bytes(game, self.layout), data):
+        if version is not None and self._applied(current, version, sources.manifest_digest(game, self.layout), digest):
             self._say("Already up to date.")
             return False
         with fixed(self.stale_plan(game, clean_manifest)) as plan:
@@ -188,9 +196,8 @@ class Engine:
         self._say("\nComplete!")
         return True
 
-    def _applied(self, current: str | None, version: str, here: bytes | None, new: bytes) -> bool:
-        digest = lambda x: F.lit(None if x is None else hashlib.sha256(x).hexdigest())
-        return self.spark.range(1).select(plans.already_applied(F.lit(current), F.lit(version), digest(here), digest(new))).first()[0]
+    def _applied(self, current: str | None, version: str, here: str | None, new: str) -> bool:
+        return self.spark.range(1).select(plans.already_applied(*map(F.lit, (current, version, here, new)))).first()[0]
 
     def _delete(self, plan: DataFrame, game: str, total) -> None:
         with followed(self.spark.sparkContext, Progress(self.out, "Remove", int(total.total), total.n)) as done:

@@ -6,6 +6,7 @@ split on bare carriage returns, and accept trailing text, repeated keys and nega
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -228,12 +229,12 @@ class ManifestSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def load(spark: SparkSession, files: list[str], layout: Layout = DEFAULT) -> DataFrame:
-    """The files as one manifest.  Larger ones are read in parts, after a first pass that finds the first bad
-    line of all, repeated paths among them."""
+def load(spark: SparkSession, files: list[str], layout: Layout = DEFAULT, at_once: bool = False) -> DataFrame:
+    """The files as one manifest.  Larger ones, and those to be checked at once, are read in parts, after a first
+    pass that finds the first bad line of all, repeated paths among them."""
     spark.dataSource.register(ManifestSource)
     source = spark.read.format("manifest").option("paths", json.dumps(files)).option("limit", str(layout.manifest_limit))
-    if sum(os.path.getsize(p) for p in files if os.path.isfile(p)) <= PART:
+    if not at_once and sum(os.path.getsize(p) for p in files if os.path.isfile(p)) <= PART:
         return source.load()
     for p in files:
         checked_size(p, layout.manifest_limit)
@@ -271,16 +272,12 @@ def load_all(spark: SparkSession, game: str, layout: Layout = DEFAULT) -> DataFr
     return main if audio is None else combine(main, audio)
 
 
-def manifest_bytes(game: str, layout: Layout = DEFAULT) -> bytes | None:
-    """The main manifest as it is, or None if it can't be read."""
+def manifest_digest(game: str, layout: Layout = DEFAULT) -> str | None:
+    """SHA-256 of the main manifest as it is, or None if it can't be read."""
+    path = os.path.join(game, layout.root_manifest)
     try:
-        return read_bytes(os.path.join(game, layout.root_manifest), layout.manifest_limit)
+        checked_size(path, layout.manifest_limit)
     except ManifestError:
         return None
-
-
-def from_bytes(spark: SparkSession, data: bytes, layout: Layout = DEFAULT) -> DataFrame:
-    """A manifest that is already in memory; its size is bounded by the manifest limit."""
-    from decimal import Decimal
-
-    return spark.createDataFrame([(n, p, Decimal(s), bytearray(m)) for n, p, s, m in parse(data, layout)], ENTRY)
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()

@@ -111,6 +111,32 @@ def test_clean_tells_all_problems_and_apply_stops_at_the_first(spark, games, tmp
     assert e.out.getvalue().rstrip().endswith(f"not file: {DATA}a")
 
 
+def test_manifests_do_not_pass_through_the_driver(spark, games, tmp_path, monkeypatch):
+    """An update is made and applied from manifests that are never read whole nor put into a row."""
+    old, new = games
+    monkeypatch.setattr(sources, "PART", 200)
+    monkeypatch.setattr(sources, "read_bytes", None)
+    monkeypatch.setattr(zips, "read_member", lambda path, member, limit, read=zips.read_member: read(path, member, limit) if member[1] == ASSET else None)
+    packed = []
+    monkeypatch.setattr("tallyframe.ops.write_archive", lambda rows, *rest, write=sinks.write_archive: (packed.extend(rows.collect()), write(rows, *rest)))
+    out = engine(spark).make(old, new, str(tmp_path / "u.zip"))
+    assert len(packed) == 5 and all(r.inline_bytes is None for r in packed)
+    with zipfile.ZipFile(out) as z:
+        assert z.read("pkg_version") == listing(new)["pkg_version"]
+    assert engine(spark).apply(out, old, verify_md5=True) and not engine(spark).apply(out, old)
+    assert listing(old)["pkg_version"] == listing(new)["pkg_version"]
+
+
+def test_a_document_is_written_by_the_task_that_reads_it(spark, tmp_path, monkeypatch):
+    """No task gets the whole table for the manifest of an install."""
+    rows = spark.createDataFrame([(i, f"text {i}", "en") for i in range(40)], "doc_id long, text string, lang string")
+    rows.repartition(8).write.option("parquet.block.size", 1024).parquet(str(tmp_path / "documents.parquet"))
+    parts = []
+    monkeypatch.setattr(files, "_write_lines", lambda lines, *rest, write=files._write_lines: (parts.append(lines.rdd.getNumPartitions()), write(lines, *rest)))
+    root = files._game(spark, str(tmp_path))
+    assert parts[0] > 1 and len(open(os.path.join(root, "pkg_version"), "rb").read().splitlines()) == 41
+
+
 def test_versions_that_cannot_be_ordered(spark, tmp_path):
     a, b, c = (install(tmp_path / n, v, {"x": b"1"}) for n, v in (("a", "Win1.0"), ("b", "Win1"), ("c", "Mac2")))
     with pytest.raises(ManifestError, match="AmbiguousVersions"):
